@@ -77,3 +77,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = cut(small)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, total: int, share: int = 500) -> DataFrame:
+    """Left join of rows with one row per key of groups (key, size, ...), safe from hot keys.
+
+    Keys with at least total / share rows, of which there are at most ``share`` whatever the data, are
+    broadcast; their rows, already answered, are spread over all partitions of the join for the others.
+    """
+    more = [c for c in groups.columns if c not in (key, size)]
+    hot = groups.where(F.col(size) * share >= total)
+    cold = groups.where(F.col(size) * share < total)
+    first = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"), F.col(size).alias("_s0"), *[F.col(c).alias(f"_h_{c}") for c in more])), F.col(key) == F.col("_hot"), "left")
+    salted = first.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int"))
+    other = cold.select(F.col(key).alias("_cold"), F.lit(0).alias("_zero"), F.col(size).alias("_s1"), *[F.col(c).alias(f"_c_{c}") for c in more])
+    out = salted.join(other, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_zero")), "left")
+    return out.select(*rows.columns, F.coalesce("_s0", "_s1").alias(size), *[F.when(F.col("_hot").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in more])

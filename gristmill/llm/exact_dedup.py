@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import attach, cut
 
 #: Bits of a shared-key bitmap: at most 2**20 words of 64 bits are broadcast.
 BITS = 1 << 26
@@ -60,6 +60,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = rows.where("_sha is not null").groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
     # Rows that no other can equal get a key of their own, so that they do not meet in one partition.
     keyed = rows.withColumn("_sha", F.coalesce("_sha", F.concat(F.lit("#"), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
-    out = keyed.join(groups, "_sha", "left")
+    groups = cut(groups)
+    out = attach(keyed, groups, "_sha", "_size", "_id", groups.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), "text_sha256")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, per_row
+from .common import attach, components, cut, per_row
 
 SEED = 42
 BLOCKS = 4
@@ -161,10 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's ids are null. Other columns are ignored; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("size")))
     parts = components(fingerprint_links(nodes.select("fp"), radius))
-    placed = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "size", F.coalesce("root", "fp").alias("root"))
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(roots, "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
+    named = placed.join(roots, "root").select("fp", "size", "component_id")
+    out = attach(prints, cut(named), "fp", "size", "id", prints.count())
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
