@@ -153,4 +153,4 @@ def rank(index: Index, terms: DataFrame, model=bm25, k: int = 1000, feedback=Non
 
 def run_lines(run: DataFrame, tag: str = "Exp") -> DataFrame:
     """The lines of a run file: query, Q0, document, rank, score, tag."""
-    return run.select(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), F.format_number("score", "0.000000"), F.lit(tag)).alias("line"))
+    return run.select(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), F.format_string("%.6f", "score"), F.lit(tag)).alias("line"))
