@@ -9,6 +9,7 @@ the sums on the path from the block to the root.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from .tokens import load
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPLIT = regex.compile(PATTERN)
+SPLIT = regex.compile(PATTERN)  # \s and classes as in the vocabulary's own splitter
 #: A pre-token's end depends on so many characters after it at most.
 AHEAD = 2
 BLOCK = 64
@@ -31,19 +32,35 @@ class Counter:
     """Tokens of single pre-tokens; remembers up to ``room`` of them."""
 
     def __init__(self, path: str, room: int = 500_000):
-        self.tokenizer, self.room, self.known, self.encoded = load(path), room, {}, 0
+        self.tokenizer, self.room, self.known = load(path), room, {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pre-tokens, some hundred at a time with line ends between, where the pattern parts them again."""
+        blank = [p for p in new if p.isspace()]
+        self.known.update(zip(blank, (len(e.ids) for e in self.tokenizer.encode_batch(blank, add_special_tokens=False))))
+        rest = [p for p in new if not p.isspace()]
+        for k in range(0, len(rest), 256):
+            some = rest[k : k + 256]
+            ends = np.cumsum([len(p) + 1 for p in some])
+            got = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            first = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            owner = np.searchsorted(ends, first, "right")
+            own = first != ends[owner] - 1
+            self.known.update(zip(some, np.bincount(owner[own], minlength=len(some)).tolist()))
 
     def count(self, parts: list[str]) -> list[int]:
-        new = list(set(parts) - self.known.keys())
+        new = set(parts).difference(self.known)
         if new:
             if len(self.known) + len(new) > self.room:
-                self.known = {}
-                new = list(set(parts))
-            self.encoded += len(new)
-            for k in range(0, len(new), 1024):
-                some = new[k : k + 1024]
-                self.known.update(zip(some, (len(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        return [self.known[p] for p in parts]
+                self.known, new = {}, set(parts)
+            self._learn(list(new))
+        return list(map(self.known.__getitem__, parts))
+
+
+@cache
+def counter(path: str) -> Counter:
+    """The process's one counter of a vocabulary: what a task has learned serves the next."""
+    return Counter(path)
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -172,7 +189,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, edits: Callable[[str], list]
     """
 
     def make():
-        count = Counter(tokenizer).count
+        count = counter(tokenizer).count
 
         def work(ids, texts):
             rows = []

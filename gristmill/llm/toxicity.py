@@ -23,9 +23,9 @@ from .common import per_row
 #: At most about so many documents are drawn for fitting.
 POSITIVES = 3000
 UNLABELLED = 6000
-VOCABULARY = 20_000
+VOCABULARY = 2_000
 WORD = re.compile(r"[^\W\d_]+")
-HEAD = 5
+HEADS = (4, 5)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -35,7 +35,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def terms(text: str | None) -> set[str]:
     """Distinct lower-cased words of a text and, marked with *, the first letters of the longer ones."""
     words = set(WORD.findall((text or "").lower()))
-    return words | {w[:HEAD] + "*" for w in words if len(w) > HEAD}
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in HEADS))
 
 
 class Linear:
