@@ -26,7 +26,7 @@ def plain_text(html: Column) -> Column:
 
 def meta_keywords(html: Column) -> Column:
     raw = F.regexp_extract(html, r"""(?is)<meta\s[^>]*name\s*=\s*["']keywords["'][^>]*content\s*=\s*["']([^"']*)["']""", 1)
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(raw), ","), F.trim), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(raw), ","), lambda w: F.trim(w)), lambda w: w != ""))
 
 
 def meta_description(html: Column) -> Column:

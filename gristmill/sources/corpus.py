@@ -26,9 +26,9 @@ def read_trec(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8
 
     def element(tag: str) -> Column:
         bodies = F.regexp_extract_all("d", F.lit(rf"(?s)<{tag}>[^\n]*\n(.*?)\n?[^\n]*</{tag}>"), F.lit(1))
-        return F.array_join(F.transform(bodies, F.trim), "\n")
+        return F.array_join(F.transform(bodies, lambda b: F.trim(b)), "\n")
 
-    head = F.array_join(F.transform(F.regexp_extract_all("d", F.lit(r"(?s)<HEAD>(.*?)</HEAD>"), F.lit(1)), F.trim), "\n")
+    head = F.array_join(F.transform(F.regexp_extract_all("d", F.lit(r"(?s)<HEAD>(.*?)</HEAD>"), F.lit(1)), lambda b: F.trim(b)), "\n")
     rows = raw.select(F.nullif(F.trim(F.regexp_extract("d", r"(?s)<DOCNO>(.*?)</DOCNO>", 1)), F.lit("")).alias("doc_id"), F.nullif(element("TEXT"), F.lit("")).alias("text"), F.nullif(head, F.lit("")).alias("head"))
     return rows.withColumn("length", F.coalesce(space_count(F.col("text")), F.lit(0)))
 
