@@ -108,13 +108,20 @@ def precision_recall_points(rows: DataFrame, depth: int = 1000) -> DataFrame:
     return rows.select("query_id", "ix", F.round(F.col("hits") / F.col("num_rel"), 6).alias("recall"), F.round("prec", 6).alias("precision"), F.round(F.max("prec").over(after), 6).alias("interpolated"))
 
 
-def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
     """One row: the area under the ROC curve by rank sums, ties sharing their mean rank.
 
-    Counts per distinct score are aggregated first; ranks are running sums over those counts.
+    Counts per distinct score are aggregated first. Ranks are running sums within buckets of the score (cut at approximate
+    quantiles) plus the total of the buckets below, so no task orders all scores.
     """
     counts = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    below = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select("pos", "n", (F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2).alias("mean_rank"))
+    bounds = sorted(set(scored.approxQuantile(score, [k / buckets for k in range(1, buckets)], 0.005)))
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col(score)))
+    counts = counts.withColumn("bucket", bucket)
+    before = Window.unboundedPreceding, -1
+    totals = counts.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
+    lower = totals.select("bucket", F.coalesce(F.sum("in_bucket").over(Window.orderBy("bucket").rowsBetween(*before)), F.lit(0)).alias("lower"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(score).rowsBetween(*before)), F.lit(0))
+    ranks = counts.withColumn("own", own).join(F.broadcast(lower), "bucket").select("pos", "n", (F.col("lower") + F.col("own") + (F.col("n") + 1) / 2).alias("mean_rank"))
     t = ranks.agg(F.sum(F.col("pos") * F.col("mean_rank")).alias("s"), F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"))
     return t.select(F.round(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")), 6).alias("auc"))

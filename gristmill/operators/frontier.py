@@ -103,11 +103,19 @@ def round_robin(position: Column, queues: int = 10) -> Column:
     return F.pmod(position - 1, F.lit(queues)).cast("int")
 
 
-def rate_limited(hits: DataFrame, key: str, ts: str, order: str, delay_seconds: float = 1.0) -> DataFrame:
-    """Adds limited: less than the delay (minus 0.1 ms) since the key's previous hit, limited or not."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, order))
-    gap = F.timestamp_diff("MICROSECOND", before, F.col(ts))
-    return hits.withColumn("limited", F.coalesce(gap < int(delay_seconds * 1_000_000) - RATE_SLACK_US, F.lit(False)))
+def rate_limited(hits: DataFrame, key: str, ts: str, order: str, delay_seconds: float = 1.0, span_seconds: int = 86_400) -> DataFrame:
+    """Adds limited: less than the delay (minus 0.1 ms) since the key's previous hit, limited or not.
+
+    Hits are ordered within spans of time, so a key with very many hits is dealt to many tasks; the first hit of a span
+    takes the last time of the key's span before, from one row per key and span.
+    """
+    rows = hits.withColumn("_span", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / span_seconds))
+    last = rows.groupBy(key, "_span").agg(F.max(ts).alias("_last"))
+    last = last.select(key, "_span", F.lag("_last").over(Window.partitionBy(key).orderBy("_span")).alias("_before"))
+    own = F.lag(ts).over(Window.partitionBy(key, "_span").orderBy(ts, order))
+    gap = F.timestamp_diff("MICROSECOND", F.coalesce("_own", "_before"), F.col(ts))
+    joined = rows.withColumn("_own", own).join(last, [key, "_span"])
+    return joined.withColumn("limited", F.coalesce(gap < int(delay_seconds * 1_000_000) - RATE_SLACK_US, F.lit(False))).drop("_span", "_own", "_before")
 
 
 def gates(rows: DataFrame, robots: DataFrame, crawled: DataFrame) -> DataFrame:
