@@ -49,7 +49,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.edited_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,17 +8,18 @@ the sums on the path from the block to the root.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_row
-from .tokens import load
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,32 +29,27 @@ AHEAD = 2
 BLOCK = 64
 
 
+@cache
+def encoding(path: str) -> tiktoken.Encoding:
+    """The vocabulary of a ranks file (base64 token and rank a line), without special tokens."""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("counted", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Counter:
     """Tokens of single pre-tokens; remembers up to ``room`` of them."""
 
-    def __init__(self, path: str, room: int = 500_000):
-        self.tokenizer, self.room, self.known = load(path), room, {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes pre-tokens, some hundred at a time with line ends between, where the pattern parts them again."""
-        blank = [p for p in new if p.isspace()]
-        self.known.update(zip(blank, (len(e.ids) for e in self.tokenizer.encode_batch(blank, add_special_tokens=False))))
-        rest = [p for p in new if not p.isspace()]
-        for k in range(0, len(rest), 256):
-            some = rest[k : k + 256]
-            ends = np.cumsum([len(p) + 1 for p in some])
-            got = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
-            first = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-            owner = np.searchsorted(ends, first, "right")
-            own = first != ends[owner] - 1
-            self.known.update(zip(some, np.bincount(owner[own], minlength=len(some)).tolist()))
+    def __init__(self, path: str, room: int = 300_000):
+        self.encode, self.room, self.known = encoding(path).encode_ordinary, room, {}
 
     def count(self, parts: list[str]) -> list[int]:
         new = set(parts).difference(self.known)
         if new:
             if len(self.known) + len(new) > self.room:
                 self.known, new = {}, set(parts)
-            self._learn(list(new))
+            for p in new:
+                self.known[p] = len(self.encode(p))
         return list(map(self.known.__getitem__, parts))
 
 

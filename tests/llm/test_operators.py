@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from gristmill.llm import boosting, common, decontaminate, exact_dedup, language, packing, pii, secrets, simhash_dedup, token_counts, tokens, toxicity, warc
 
 WORDS_PATH = str(public_tokenizers.path("word_bpe_49k.json"))
-BYTES_PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
+BYTES_PATH = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 WORDS = "the of and quick brown fox jumps over lazy dog river stone cloud tree lamp glass paper house".split()
 
 
@@ -415,7 +415,7 @@ def test_token_tree_edits():
 
 
 def test_token_counts(docs):
-    t = Tokenizer.from_file(BYTES_PATH)
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     got = Counter((x.doc_id, x.n_tokens, x.n_tokens_edited) for x in token_counts.edited_counts(docs, BYTES_PATH).collect())
     want = Counter()
     for i, text in ROWS:
