@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import attach, cut, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
-RANGE = 8 << 20
+RANGE = 4 << 20
 FILE = 64 << 20
 STEP = 256 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -172,12 +172,13 @@ def _read_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.select("path", "bytes", "lo", "hi", "enter").mapInArrow(run, "path string, lo long, first long, next long, " + HEAD)
 
 
-def read_archives(archives: DataFrame, range_bytes: int = RANGE, attempts: int = 20) -> DataFrame:
+def read_archives(archives: DataFrame, range_bytes: int = RANGE, attempts: int = 20, most_tasks: int = 50_000) -> DataFrame:
     """All records of the archives (path, bytes): page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri."""
     lo = F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes))).alias("lo")
     ranges = archives.where("bytes > 0").select("path", "bytes", lo).withColumn("lo", F.col("lo").cast("long"))
-    ranges = cut(ranges.select("path", "bytes", "lo", F.least(F.col("lo") + range_bytes, "bytes").alias("hi"), F.lit(None).cast("long").alias("enter")).repartition("path", "lo"))
-    found = cut(_read_ranges(ranges))
+    ranges = cut(ranges.select("path", "bytes", "lo", F.least(F.col("lo") + range_bytes, "bytes").alias("hi"), F.lit(None).cast("long").alias("enter")))
+    # A stated number of partitions: rows this small would else be put together into one task.
+    found = cut(_read_ranges(ranges.repartition(max(1, min(ranges.count(), most_tasks)), "path", "lo")))
     for _ in range(attempts):
         ends = found.where("next is not null or (page_id is null and payload_digest is null)").select("path", "lo", "first", "next").join(ranges.select("path", "lo", "hi"), ["path", "lo"])
         before = F.max("next").over(Window.partitionBy("path").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
