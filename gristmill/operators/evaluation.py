@@ -118,10 +118,11 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score", buckets:
     bounds = sorted(set(scored.approxQuantile(score, [k / buckets for k in range(1, buckets)], 0.005)))
     bucket = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col(score)))
     counts = counts.withColumn("bucket", bucket)
-    before = Window.unboundedPreceding, -1
-    totals = counts.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
-    lower = totals.select("bucket", F.coalesce(F.sum("in_bucket").over(Window.orderBy("bucket").rowsBetween(*before)), F.lit(0)).alias("lower"))
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(score).rowsBetween(*before)), F.lit(0))
-    ranks = counts.withColumn("own", own).join(F.broadcast(lower), "bucket").select("pos", "n", (F.col("lower") + F.col("own") + (F.col("n") + 1) / 2).alias("mean_rank"))
+    # One number per bucket comes to the driver.
+    totals = {r[0]: r[1] for r in counts.groupBy("bucket").agg(F.sum("n")).collect()}
+    lower = [sum(n for k, n in totals.items() if k < at) for at in range(len(bounds) + 1)]
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.get(F.array(*map(F.lit, lower)), F.col("bucket")).cast("long")
+    ranks = counts.select("pos", "n", (below + own + (F.col("n") + 1) / 2).alias("mean_rank"))
     t = ranks.agg(F.sum(F.col("pos") * F.col("mean_rank")).alias("s"), F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"))
     return t.select(F.round(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")), 6).alias("auc"))
