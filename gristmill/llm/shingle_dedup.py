@@ -1,0 +1,166 @@
+"""Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+A prefix join finds the candidates and misses none: under one order of all shingles, two sets of similarity s
+share a shingle among the first n - ceil(s * n) + 1 of each. Any order is right; the one used has shingles that
+are common in a sample of the texts last, so that few texts share the first ones. Of the texts that share
+such a shingle, neighbours by size are compared first; what these links do not connect is then compared in full. A
+group of m copies so needs about m comparisons, and no pair is left out unless its two texts are connected already.
+Texts and shingles are told apart by 64-bit hashes; every link is verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import attach, components, cut, per_row
+from .decontaminate import shingle_codes
+
+WIDTH = 5
+SIMILARITY = 0.8
+#: One text in so many is looked at for common shingles, of which at most COMMON are put last.
+SHARE = 20
+COMMON = 200_000
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted codes of the text's distinct shingles; of fewer words there is one shingle, the whole, also of none."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    return np.unique(shingle_codes(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), width))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles of three or more texts of the sample, the commonest last."""
+
+    def make():
+        def work(_, texts):
+            return (np.concatenate([shingle_set(t, width) for t in texts]).view(np.int64),)
+
+        return work
+
+    rows = per_row(texts.where(F.pmod("key", F.lit(SHARE)) == 0), "code long", make)
+    top = rows.groupBy("code").count().where("count >= 3").orderBy(F.desc("count"), "code").limit(COMMON).select("code").toArrow()
+    return top.column(0).to_numpy().view(np.uint64)[::-1].copy()
+
+
+def _prefixes(texts: DataFrame, common: np.ndarray, width: int, least: float) -> DataFrame:
+    """(key, n, code, pos): the first shingles of every text, and the size of its set."""
+
+    def make():
+        by = np.argsort(common)
+        known = common[by]
+
+        def first(text):
+            codes = shingle_set(text, width)
+            n = len(codes)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                late = known[at] == codes
+                codes = np.concatenate([codes[~late], common[np.sort(by[at[late]])]])
+            return n, codes[: n - int(np.ceil(least * n - 1e-9)) + 1]
+
+        def work(keys, texts):
+            found = [first(t) for t in texts]
+            length = [len(c) for _, c in found]
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in length])
+            return np.repeat(np.array(keys, np.int64), length), np.repeat(np.array([n for n, _ in found], np.int32), length), np.concatenate([c for _, c in found]).view(np.int64), pos
+
+        return work
+
+    return per_row(texts, "key long, n int, code long, pos int", make)
+
+
+def _may_reach(n1, p1, n2, p2, least: float, small=F.least, large=F.greatest):
+    """Whether sets of these sizes can be similar, given that the shingle at these places is the first that they share."""
+    return (small(n1, n2) >= least * large(n1, n2) - 1e-9) & (small(n1 - p1, n2 - p2) >= least / (1 + least) * (n1 + n2) - 1e-9)
+
+
+def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of texts of one shingle that are not connected; rows (code, root, key, n, pos) come sorted by code."""
+
+    def pairs(root, key, n, pos):
+        parts, part, size = np.unique(root, return_inverse=True, return_counts=True)
+        # The members of all parts but the largest meet every text of the other parts.
+        rank = np.empty(len(parts), np.int64)
+        rank[np.argsort(size, kind="stable")] = np.arange(len(parts))
+        rank = rank[part]
+        for x in np.flatnonzero(rank < len(parts) - 1):
+            y = np.flatnonzero(rank > rank[x])
+            y = y[_may_reach(n[x], pos[x], n[y], pos[y], least, np.minimum, np.maximum)]
+            if len(y):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x], key[y])), pa.array(np.maximum(key[x], key[y]))], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        edge = np.flatnonzero(np.diff(held[0])) + 1
+        for lo, hi in zip([0, *edge], edge):
+            yield from pairs(*(c[lo:hi] for c in held[1:]))
+        if len(edge):
+            held = [c[edge[-1] :] for c in held]
+    if held is not None and len(held[0]):
+        yield from pairs(*held[1:])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Edges (u, v): the pairs (a, b) that are similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    own = cut(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+
+    def make():
+        last: list = [None, None]
+
+        def work(a, b, ta, tb):
+            good = np.zeros(len(a), bool)
+            for k, (x, s, t) in enumerate(zip(a, ta, tb)):
+                if last[0] != x:
+                    last[:] = x, shingle_set(s, width)
+                good[k] = jaccard(last[1], shingle_set(t, width)) >= least
+            return np.array(a, np.int64)[good], np.array(b, np.int64)[good]
+
+        return work
+
+    rows = pairs.join(own.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    return cut(per_row(rows.select("a", "b", "ta", "tb"), "u long, v long", make, 64))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """One row per input row: id, component_id, the smallest id that links of similar texts reach.
+
+    Null, empty and wordless texts count as equal, as do texts of the same words. A null id never becomes component_id
+    unless all of its component's ids are null. Other columns are ignored; an empty table gives an empty result.
+    """
+    text: Column = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    order = Window.partitionBy("code").orderBy("n", "key")
+    near = _prefixes(texts, _common(texts, width), width, least)
+    near = near.select("code", "key", "n", "pos", *[F.lag(c).over(order).alias(f"_{c}") for c in ("key", "n", "pos")], F.lead("key").over(order).alias("_next"))
+    shared = cut(near.where("_key <> key OR _next <> key"))
+    ordered = (F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b"))
+    tried = cut(shared.where("_key <> key").where(_may_reach(F.col("n"), F.col("pos"), F.col("_n"), F.col("_pos"), least)).select(*ordered).distinct())
+    links = _verified(tried, texts, width, least)
+    parts = components(links)
+    rows = shared.join(parts.withColumnRenamed("node", "key"), "key", "left").select("code", F.coalesce("root", "key").alias("root"), "key", "n", "pos").distinct()
+    mixed = rows.withColumn("_lo", F.min("root").over(Window.partitionBy("code"))).withColumn("_hi", F.max("root").over(Window.partitionBy("code"))).where("_lo <> _hi").drop("_lo", "_hi")
+    rest = mixed.repartition("code").sortWithinPartitions("code").mapInArrow(lambda batches: _across(batches, least), "a long, b long")
+    more = _verified(cut(rest.distinct().join(tried, ["a", "b"], "left_anti")), texts, width, least)
+    parts = components(links.unionByName(more))
+    prints = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key")))
+    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    placed = cut(nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "least", "size", F.coalesce("root", "key").alias("root")))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "size", "component_id")
+    return attach(prints, cut(named), "key", "size", "id", prints.count()).select(F.col("id").alias(id_col), "component_id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from gristmill.llm import decontaminate, language, simhash_dedup
+from gristmill.llm import decontaminate, language, shingle_dedup, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +61,47 @@ def test_run_and_empty_table(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_near_copies_against_brute_force(spark):
+    """Every pair of five-word similarity 0.8 or more is linked, and nothing else."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    texts = [None, "", "  \n", "one two", "one two", "one two three", "Ü b c d e", "ü b c d e"]
+    line = " ".join(word() for _ in range(12))
+    for n in (5, 9, 14, 30, 60, 120, 400):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(5):
+                copy = list(base)
+                for _ in range(r.choice((1, 1, 2, 3, 4, n // 30))):
+                    copy[r.randrange(len(copy))] = word()
+                texts.append(" ".join(copy[: len(copy) - r.choice((0, 0, 1, n // 8))]))
+    texts += [line + " " + " ".join(word() for _ in range(r.choice((1, 2, 3, 20)))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[-1]), (3, "one two")]
+    grams = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()}
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                far += (simhash_dedup.fingerprint(rows[a][1]) ^ simhash_dedup.fingerprint(rows[b][1])).bit_count() > 2
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert far > 50
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = sorted((str(x.doc_id), x.component_id) for x in shingle_dedup.near_copies(docs).collect())
+    assert got == sorted((str(i), least.get(find(k))) for k, (i, _) in enumerate(rows))
+    kept = {x.doc_id for x in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()}
+    assert kept == {i for k, (i, _) in enumerate(rows) if i is None or least[find(k)] == i}
