@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash over windows of an item's size.
 
-Every document is slid over with windows as long as a benchmark item (in words). A window's fingerprint is the
+Every document is slid over with windows as long as a benchmark item (in words); for items with more words than the
+document the window is the whole document. A window's fingerprint is the
 SimHash of its words, weighted by their number; candidates are the items whose fingerprints are within
 ``radius`` bits, found by multi-index Hamming blocks: 64 bits are cut into blocks, and of any two fingerprints within
 the radius at least one block differs in no more than radius // blocks bits, so looking up those
@@ -56,7 +57,7 @@ def shingle_codes(codes: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 
 def similarity(a: Counter, b: Counter) -> float:
-    """Weighted overlap: shared weight over the larger total (windows have their item's size)."""
+    """Weighted overlap: shared weight over the larger total (windows have their item's size, or are the whole of a shorter document)."""
     return sum(min(n, b[k]) for k, n in a.items() if k in b) / max(1, sum(a.values()), sum(b.values()))
 
 
@@ -131,11 +132,9 @@ class Index:
         sizes = defaultdict(list)
         for n, places in hits.items():
             if len(places) >= self.least * sum(self.weights[n].values()):
-                sizes[int(self.size[n])].append((n, places))
-        best: dict[int, tuple[float, int]] = {}
+                sizes[min(int(self.size[n]), len(words))].append((n, places))
+        best: dict[int, tuple[float, int, int]] = {}
         for size, found in sizes.items():
-            if size > len(words):
-                continue
             starts = np.unique(np.concatenate([self._starts(np.array(p), size, len(words), self.least * sum(self.weights[n].values())) for n, p in found]))
             wanted = {n for n, _ in found}
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
@@ -149,11 +148,11 @@ class Index:
                     prints = np.packbits(ones * 2 > size, axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8")[:, 0]
                     for k, p in enumerate(prints.tolist()):
                         for n in self.near(p):
-                            if n in wanted and self.size[n] == size:
+                            if n in wanted:
                                 s = similarity(self.weights[n], Counter(shingle_codes(exact[at + k : at + k + size], self.width).tolist()))
-                                if s >= self.least and s > best.get(n, (0, 0))[0]:
-                                    best[n] = (s, at + k)
-        return [(n, s, p, int(self.size[n])) for n, (s, p) in sorted(best.items())]
+                                if s >= self.least and s > best.get(n, (0, 0, 0))[0]:
+                                    best[n] = (s, at + k, size)
+        return [(n, s, p, k) for n, (s, p, k) in sorted(best.items())]
 
     def _starts(self, places: np.ndarray, size: int, total: int, need: float) -> np.ndarray:
         """Starts of windows of ``size`` words that hold at least ``need`` of the places of an item's shingles."""
@@ -176,7 +175,7 @@ def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
 def contaminated(docs: DataFrame, items: list[tuple], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, similarity, first_word, n_words.
 
-    The best window of the item's size is reported, the first of equal ones. Null and empty texts hold nothing;
+    The best window of the item's size (of a shorter document, the whole) is reported, the first of equal ones. Null and empty texts hold nothing;
     items without a word are held by nothing. Repeated rows are reported each; a null id stays null. Other
     columns are ignored; empty tables give an empty result.
     """

@@ -220,6 +220,25 @@ def test_decontamination_against_brute_force(spark):
         decontaminate.load_items(bench, most=3)
 
 
+def test_document_shorter_than_item(spark):
+    """A document with fewer words than an item is compared with it as a whole."""
+    items = [(i, prose(300 + i, n)) for i, n in enumerate((3, 8, 37, 59))]
+    rows = [(10 * i + k, " ".join(t.split()[: len(t.split()) - k])) for i, t in items for k in range(8)] + [(90, " ".join(items[3][1].split()[5:])), (91, "a"), (92, "")]
+
+    def whole(text, item):
+        w, b = decontaminate.words_of(text), decontaminate.words_of(item)
+        k = min(5, len(b))
+        grams = lambda x: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+        return (grams(w) & grams(b)).total() / max(grams(w).total(), grams(b).total())
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.item_id, round(x.similarity, 9), x.first_word, x.n_words) for x in decontaminate.contaminated(df, items).collect())
+    want = Counter((d, i, round(s, 9), 0, len(decontaminate.words_of(t))) for d, t in rows for i, b in items if (s := whole(t, b)) >= 0.8)
+    assert got == want and sum(d % 10 > 0 for d, *_ in want) > 10
+    held = {d for d, *_ in want}
+    assert sorted(x.doc_id for x in decontaminate.clean_documents(df, items).collect()) == sorted(d for d, _ in rows if d not in held)
+
+
 def test_hamming_blocks_miss_none():
     r = random.Random(2)
     index = decontaminate.Index([(i, prose(i, 30)) for i in range(50)])
