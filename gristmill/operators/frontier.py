@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, l2_normalized
+from .ranking import small
 
 RATE_SLACK_US = 100
+MOST_RULES = 1_000_000
 
 
 def contains_any(column: Column, parts: Iterable[str]) -> Column:
@@ -118,7 +120,18 @@ def rate_limited(hits: DataFrame, key: str, ts: str, order: str, delay_seconds:
     return joined.withColumn("limited", F.coalesce(gap < int(delay_seconds * 1_000_000) - RATE_SLACK_US, F.lit(False))).drop("_span", "_own", "_before")
 
 
-def gates(rows: DataFrame, robots: DataFrame, crawled: DataFrame) -> DataFrame:
-    """Rows that may be processed: allowed by robots (host, prefix), HTML, and not redirected to a crawled URL."""
-    banned = rows.join(F.broadcast(robots.limit(1_000_000)), "host").where(F.col("path").startswith(F.col("prefix"))).select("url").distinct()
+def gates(rows: DataFrame, robots: DataFrame, crawled: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """Rows that may be processed: allowed by robots (host, prefix), HTML, and not redirected to a crawled URL.
+
+    Robots rules are broadcast, if there are at most ``most``. Of more, only those of hosts with at least a 500th of the rows
+    are (in turn if at most ``most``), as such hosts would fill a task; the others are joined by shuffle.
+    """
+    hits = rows.select("host", "path", "url")
+    if robots.limit(most + 1).count() <= most:
+        ruled = hits.join(F.broadcast(robots), "host")
+    else:
+        hosts = hits.where("host is not null").groupBy("host").count()
+        hot = F.broadcast(hosts.crossJoin(F.broadcast(hosts.agg(F.sum("count").alias("total")))).where("count * 500 >= total").select("host"))
+        ruled = hits.join(small(robots.join(hot, "host", "left_semi"), most), "host").unionByName(hits.join(hot, "host", "left_anti").join(robots, "host"))
+    banned = ruled.where(F.col("path").startswith(F.col("prefix"))).select("url").distinct()
     return rows.where(F.lower("content_type").startswith("text/html")).join(banned, "url", "left_anti").join(crawled.select(F.col("url").alias("redirected_url")).distinct(), "redirected_url", "left_anti")

@@ -184,3 +184,16 @@ def test_all_rank_models_fit(spark):
     models["boosted"].setMaxIter(5)
     out = learning.train_and_evaluate(table, labels.withColumnRenamed("label", "rel"), {k: models[k] for k in ("linear", "logistic", "elastic_net", "tree_20", "boosted")}, draws=1)
     assert {n for n, *_ in out} == {"linear", "logistic", "elastic_net", "tree_20", "boosted"} and dict((n, a) for n, _, a, _ in out)["tree_20"] == 1.0
+
+
+def test_gates_use_all_rules(spark):
+    """Robots rules past the first million hold too, and those joined by shuffle as those broadcast."""
+    rows = [(f"u{k}", f"h{k % 40}" if k % 3 else "hot", f"/{'ab'[k % 2]}/{k}", "text/html" if k % 5 else "text/plain", f"r{k}") for k in range(600)] + [("none", None, "/a", "text/html", "r")]
+    pages = spark.createDataFrame(rows, "url string, host string, path string, content_type string, redirected_url string")
+    crawled = spark.createDataFrame([("r7",)], "url string")
+    own = spark.createDataFrame([("hot", "/a/"), ("h1", "/b"), ("h2", "/"), ("h2", "/a"), (None, "/")], "host string, prefix string")
+    bans = {"hot": ("/a/",), "h1": ("/b",), "h2": ("/",)}
+    want = sorted(u for u, h, p, c, r in rows if c == "text/html" and r != "r7" and not p.startswith(bans.get(h, ("#",))))
+    many = spark.range(1_000_001).select(F.concat(F.lit("x"), "id").alias("host"), F.lit("/").alias("prefix")).unionByName(own)
+    for robots, options in ((own, {}), (many, {}), (own, {"most": 3}), (own, {"most": 0})):
+        assert sorted(r.url for r in frontier.gates(pages, robots, crawled, **options).collect()) == want
