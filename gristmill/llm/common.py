@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,3 +94,38 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str,
     other = cold.select(F.col(key).alias("_cold"), F.lit(0).alias("_zero"), F.col(size).alias("_s1"), *[F.col(c).alias(f"_c_{c}") for c in more])
     out = salted.join(other, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_zero")), "left")
     return out.select(*rows.columns, F.coalesce("_s0", "_s1").alias(size), *[F.when(F.col("_hot").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in more])
+
+
+#: Bits of a bitmap of keys: at most 2**20 words of 64 bits are broadcast, whatever the data.
+BITS = 1 << 26
+M = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _spot(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def bitmap(keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """The keys (column _k) as (word number, 64 bits) in at most bits / 64 rows."""
+    spots = keys.select(_spot(F.col("_k"), bits).alias("_s"))
+    return cut(spots.groupBy(F.shiftright("_s", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, int(_s % 64)))").alias("_bits")))
+
+
+def flagged(rows: DataFrame, key: str, keys: DataFrame, name: str, bits: int = BITS) -> DataFrame:
+    """Adds whether the bitmap ``keys`` has the row's key: true for all keys in it and, by collision, for some others.
+
+    ``bits`` bounds the bitmap's size, so it is broadcast.
+    """
+    at = rows.withColumn("_s", _spot(F.col(key), bits)).withColumn("_word", F.shiftright("_s", 6))
+    joined = at.join(F.broadcast(keys), "_word", "left")
+    return joined.withColumn(name, F.coalesce(F.expr("getbit(_bits, int(_s % 64)) = 1"), F.lit(False))).drop("_word", "_s", "_bits")
+
+
+def shingle_codes(codes: np.ndarray, width: int) -> np.ndarray:
+    """One code per shingle of ``width`` words, from the words' codes; of fewer words there is one shingle, the whole."""
+    width = max(1, min(width, len(codes)))
+    n = len(codes) - width + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for i in range(width if n > 0 else 0):
+        out = (out ^ (out >> np.uint64(31))) * M + codes[i : i + n]
+    return out

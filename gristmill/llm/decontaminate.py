@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row
+from .common import per_row, shingle_codes
 
 WIDTH = 5
 SIMILARITY = 0.8

@@ -3,13 +3,38 @@
 from __future__ import annotations
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gristmill.llm import decontaminate, language, shingle_dedup, simhash_dedup
+from gristmill.llm import decontaminate, language, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 
 
+def grams(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def classes(texts):
+    """For each text the place of the first text that links of five-word similarity 0.8 or more reach."""
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(texts))]
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(10_001, None, None, "x", 0), (10_002, "123 !!", "en", "x", 0), (10_003, "", "en", "x", 0)], docs.schema)
@@ -31,21 +56,9 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == set(last.values())
     before = {r.doc_id: r.text for r in kept.collect()}
     kept = step("near_dedup", kept)
-    prints = {i: simhash_dedup.fingerprint(t) for i, t in before.items()}
-    root = {i: i for i in before}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
     ids = sorted(before)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert {r.doc_id for r in kept.collect()} == {i for i in ids if find(i) == i}
+    least = classes([before[i] for i in ids])
+    assert {r.doc_id for r in kept.collect()} == {i for k, i in enumerate(ids) if least[k] == k} and len(set(least)) < len(ids)
     before = {r.doc_id: r.text for r in kept.collect()}
     kept = step("decontamination", kept)
     bench = decontaminate.Index(decontaminate.load_items(spark.read.parquet(f"{SF}/benchmark.parquet")))
@@ -63,7 +76,15 @@ def test_run_and_empty_table(spark, tmp_path):
         assert out.count() == 0
 
 
-def test_near_copies_against_brute_force(spark):
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+
+
+def prose(r, n):
+    return " ".join(str(r.randint(0, 10**6)) for _ in range(n))
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
     """Every pair of five-word similarity 0.8 or more is linked, and nothing else."""
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
@@ -79,29 +100,40 @@ def test_near_copies_against_brute_force(spark):
                     copy[r.randrange(len(copy))] = word()
                 texts.append(" ".join(copy[: len(copy) - r.choice((0, 0, 1, n // 8))]))
     texts += [line + " " + " ".join(word() for _ in range(r.choice((1, 2, 3, 20)))) for _ in range(60)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[-1]), (3, "one two")]
-    grams = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()}
-    sets = [grams(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    far = 0
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-                far += (simhash_dedup.fingerprint(rows[a][1]) ^ simhash_dedup.fingerprint(rows[b][1])).bit_count() > 2
-                root[max(find(a), find(b))] = min(find(a), find(b))
-    assert far > 50
+    for k in range(3):  # large groups, whose sets take several tiles
+        base = [word() for _ in range(80)]
+        for _ in range(60):
+            texts.append(" ".join(word() if r.random() < 0.02 + 0.02 * k else w for w in base))
+    monkeypatch.setattr(simhash_dedup, "TILE_SETS", 16)
+    monkeypatch.setattr(simhash_dedup, "TILE_SHINGLES", 3000)
+    monkeypatch.setattr(simhash_dedup, "PART", 7)
+    long = prose(r, 30_000)
+    texts += [long, long + " end", "x" * 300_000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[-1]), (3, "one two"), (3, "one two")]
+    root = classes([t for _, t in rows])
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
-            least[find(k)] = min(i, least.get(find(k), i))
-    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
-    got = sorted((str(x.doc_id), x.component_id) for x in shingle_dedup.near_copies(docs).collect())
-    assert got == sorted((str(i), least.get(find(k))) for k, (i, _) in enumerate(rows))
-    kept = {x.doc_id for x in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()}
-    assert kept == {i for k, (i, _) in enumerate(rows) if i is None or least[find(k)] == i}
+            least[root[k]] = min(i, least.get(root[k], i))
+    far = sum((simhash_dedup.fingerprint(rows[k][1]) ^ simhash_dedup.fingerprint(rows[x][1])).bit_count() > 2 for k, x in enumerate(root) if k != x)
+    assert far > 50
+    docs = frame(spark, rows).withColumn("_row", F.lit(1)).withColumn("key", F.lit("clash")).withColumn("row", F.lit("clash"))
+    got = sorted((str(x.doc_id), x.component_id) for x in simhash_dedup.similar_texts(docs).collect())
+    assert got == sorted((str(i), least.get(root[k])) for k, (i, _) in enumerate(rows))
+    kept = sorted((str(x.doc_id) for x in simhash_dedup.one_of_each(docs).collect()))
+    assert kept == sorted({str(i) for k, (i, _) in enumerate(rows) if i is not None and least[root[k]] == i})
+    assert simhash_dedup.similar_texts(docs.limit(0)).count() == 0
+
+
+def test_rows_with_repeated_ids(spark):
+    """No unique text is lost, of equal rows one stays, and null ids do not keep copies."""
+    rows = [(1, "aaa bbb"), (1, "unique text here"), (2, "aaa bbb"), (5, "same row"), (5, "same row"), (None, "aaa bbb"), (None, "nobody's text"), (None, "nobody's text"), (7, None), (8, "")]
+    docs = frame(spark, rows).withColumn("clash", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    got = sorted((str(x.doc_id), x.text or "") for x in stages["exact_dedup"](spark, docs, SF).collect())
+    assert got == sorted([("1", "unique text here"), ("2", "aaa bbb"), ("5", "same row"), ("None", "nobody's text"), ("8", "")])
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join([*base[:k], "other", *base[k:]]) for k in range(0, 60, 20)]
+    rows = [(1, near[0]), (1, "completely other words in this one"), (2, near[1]), (None, near[2]), (3, near[2]), (4, "alone"), (4, "alone"), (None, "no id no copy"), (9, None), (9, "")]
+    got = sorted((str(x.doc_id), x.text or "") for x in stages["near_dedup"](spark, frame(spark, rows), SF).collect())
+    assert got == sorted([("1", near[0]), ("1", "completely other words in this one"), ("4", "alone"), ("None", "no id no copy"), ("9", "")])
