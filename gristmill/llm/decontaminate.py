@@ -1,19 +1,27 @@
 """Benchmark decontamination by SimHash over windows of an item's size.
 
-Every document is slid over with windows as long as a benchmark item (in words); for items with more words than the
-document the window is the whole document. A window's fingerprint is the
-SimHash of its words, weighted by their number; candidates are the items whose fingerprints are within
-``radius`` bits, found by multi-index Hamming blocks: 64 bits are cut into blocks, and of any two fingerprints within
-the radius at least one block differs in no more than radius // blocks bits, so looking up those
-neighbours of each block misses none. A candidate counts when the similarity of the five-word shingles, weighted by
-their number, is 0.8 or more. Windows that hold no shingle of an item have similarity 0 to it and are not opened.
-The benchmark is a reference set of bounded size (``MAX_ITEMS``, checked), which every task holds.
+Every document is slid over with windows as long as each benchmark item (in words); for items with more words than the
+document the window is the whole document. A window's fingerprint is the 64-bit SimHash of the words in its middle three
+fifths, as is the item's: at a similarity of 0.8 what is cut off at a window's ends does not reach the middle, and few
+words inside can have changed, so the fingerprints stay within ``RADIUS`` bits. Candidates are all items within that radius of a
+window, found by multi-index Hamming blocks: 64 bits are cut into four blocks with limits t that add up to RADIUS - 3, and
+of two fingerprints within the radius at least one block differs in no more than its t bits (else the sum would be
+greater), so looking up those neighbours of each block misses none. Around a candidate the windows of the item's size are
+compared exactly: it counts when the similarity of the five-word shingles, weighted by their number, is 0.8 or more.
+
+Fingerprints of all windows are computed in bit slices: the counts of 64 bits over a window are held as a few 64-bit
+numbers, one for each binary digit, and growing every window of a buffer by a word is one addition with carry.
+
+The benchmark is searched in parts of bounded size (``PART_ITEMS``, ``PART_BYTES``), one pass over the documents for each,
+so no benchmark is too large; all usual ones are one part.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,38 +30,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, shingle_codes
+from .common import cut, per_row, shingle_codes
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 23
-BLOCKS = 8
-MAX_ITEMS = 200_000
+RADIUS = 11
+BLOCKS = 4
+PART_ITEMS = 10_000
+PART_BYTES = 16 << 20
 WORD = re.compile(r"[^\W_]+")
-M = np.uint64(0x9E3779B97F4A7C15)
+#: Windows whose fingerprints are computed together.
+CHUNK = 8192
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+class _Codes(dict):
+    """64-bit codes of words; remembers those it has met, up to some number."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+_CODE = _Codes()
+
+
 def _codes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    return np.fromiter(map(_CODE.__getitem__, words), np.uint64, len(words))
 
 
-def _quick(words: list[str]) -> np.ndarray:
-    """Codes that hold within one process only, for the first look at every word."""
-    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+def middle(size: int) -> tuple[int, int]:
+    """(first word, words) of the part of a window of ``size`` words that is fingerprinted; of short ones (where 0.8 means equal) all."""
+    words = size if size <= 8 else -(-3 * size // 5)
+    return (size - words) // 2, words
 
 
-def shingle_codes(codes: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """One code per shingle of ``width`` words; of fewer words there is one shingle, the whole."""
-    width = max(1, min(width, len(codes)))
-    n = len(codes) - width + 1
-    out = np.zeros(max(0, n), np.uint64)
-    for i in range(width if n > 0 else 0):
-        out = (out ^ (out >> np.uint64(31))) * M + codes[i : i + n]
-    return out
+def fingerprint(codes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the codes."""
+    ones = np.unpackbits(codes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(codes), bitorder="little").view("<u8")[0])
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -61,148 +81,241 @@ def similarity(a: Counter, b: Counter) -> float:
     return sum(min(n, b[k]) for k, n in a.items() if k in b) / max(1, sum(a.values()), sum(b.values()))
 
 
+def _add(planes: list[np.ndarray], more: list[np.ndarray]) -> None:
+    """planes += more; both are numbers in bit slices, the lowest digit first."""
+    carry = None
+    for k in range(max(len(planes), len(more)) + 1):
+        if k >= len(more) and carry is None:
+            return
+        if k == len(planes):
+            if k >= len(more) and not carry.any():
+                return
+            planes.append(np.zeros_like(planes[0]) if planes else np.zeros_like(more[0]))
+        a, b = planes[k], more[k] if k < len(more) else None
+        if b is None or carry is None:
+            x = carry if b is None else b
+            carry = a & x
+            planes[k] = a ^ x
+        else:
+            half = a ^ b
+            planes[k], carry = half ^ carry, (a & b) | (half & carry)
+
+
+def _at_least(planes: list[np.ndarray], least: int) -> np.ndarray:
+    """A bit is 1 where the number in its slices is ``least`` or more."""
+    if least >> len(planes):
+        return np.zeros_like(planes[0])
+    above, equal = None, None
+    for k in range(len(planes) - 1, -1, -1):
+        p = planes[k]
+        if least >> k & 1:
+            equal = p if equal is None else equal & p
+        else:
+            more = p if equal is None else equal & p
+            above = more if above is None else above | more
+            equal = ~p if equal is None else equal & ~p
+    return equal if above is None else above | equal
+
+
+def window_prints(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(size, first start, fingerprints) of all windows of the ascending ``sizes``, some thousand starts at a time."""
+    for at in range(0, len(codes), CHUNK):
+        n = min(CHUNK, len(codes) - at)
+        part = np.zeros(n + sizes[-1], np.uint64)
+        have = codes[at : at + n + sizes[-1]]
+        part[: len(have)] = have
+        # doubled[k]: counts over 2 ** k words from each place on.
+        doubled: list[list[np.ndarray]] = [[part]]
+        planes: list[np.ndarray] = []
+        reach = 0
+        for size in sizes:
+            while reach < size:
+                k = (size - reach).bit_length() - 1
+                k = k if k >= 3 else 0
+                while len(doubled) <= k:
+                    step, last = 1 << (len(doubled) - 1), doubled[-1]
+                    wide = [p[:-step].copy() for p in last]
+                    _add(wide, [p[step:] for p in last])
+                    doubled.append(wide)
+                _add(planes, [p[reach : reach + n] for p in doubled[k]])
+                reach += 1 << k
+            yield size, at, _at_least(planes, size // 2 + 1)[: max(0, len(codes) - size + 1 - at)]
+
+
+class Blocks:
+    """Fingerprints by Hamming blocks: which are within the radius of given ones."""
+
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+        self.prints, self.radius = prints, radius
+        bits, spare = 64 // BLOCKS, radius - BLOCKS + 1
+        limits = [max(0, spare // BLOCKS + (b < spare % BLOCKS)) for b in range(BLOCKS)]
+        self.any, self.starts, self.members = [], [], []
+        for b, limit in enumerate(limits):
+            masks = np.array([sum(1 << i for i in c) for k in range(limit + 1) for c in combinations(range(bits), k)], np.uint64)
+            values = ((prints >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1))[:, None] ^ masks
+            flat = values.ravel().astype(np.int64)
+            count = np.bincount(flat, minlength=1 << bits)
+            self.any.append(count > 0)
+            self.starts.append(np.concatenate([[0], np.cumsum(count)]))
+            self.members.append((np.argsort(flat, kind="stable") // len(masks)).astype(np.int32))
+
+    def met(self, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in found, number of the fingerprint) of all that share a block's neighbourhood, block by block."""
+        blocks = found.astype("<u8", copy=False).view("<u2").reshape(-1, BLOCKS)
+        for b in range(BLOCKS):
+            own = blocks[:, b]
+            at = np.flatnonzero(self.any[b][own])
+            if len(at):
+                first = self.starts[b][own[at]]
+                size = self.starts[b][own[at].astype(np.int64) + 1] - first
+                ends = np.cumsum(size)
+                yield np.repeat(at, size), self.members[b][np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
+
+    def near(self, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``met``, but only what is within the radius."""
+        for at, n in self.met(found):
+            good = np.bitwise_count(found[at] ^ self.prints[n]) <= self.radius
+            if good.any():
+                yield at[good], n[good]
+
+
 class Index:
-    """The benchmark: shingles for the first look, fingerprints in Hamming blocks, and exact shingle weights."""
+    """Benchmark items: fingerprints in Hamming blocks for each size of middle, and exact shingle weights."""
 
-    def __init__(self, items: list[tuple], width: int = WIDTH, radius: int = RADIUS, blocks: int = BLOCKS, least: float = SIMILARITY):
-        self.width, self.radius, self.blocks, self.least = width, radius, blocks, least
+    def __init__(self, items: list[tuple], width: int = WIDTH, radius: int = RADIUS, least: float = SIMILARITY):
+        self.width, self.least = width, least
         split = [(i, words_of(t)) for i, t in items]
         self.items = [(i, w) for i, w in split if w]
-        self.size = np.array([len(w) for _, w in self.items], np.int64)
-        self.weights = [Counter(shingle_codes(_codes(w), width).tolist()) for _, w in self.items]
-        owners = defaultdict(set)
-        for n, (_, w) in enumerate(self.items):
-            for code in shingle_codes(_quick(w), width).tolist():
-                owners[code].add(n)
-        self.owners = {k: sorted(v) for k, v in owners.items()}
-        self.sorted = np.sort(np.fromiter(self.owners, np.uint64, len(self.owners)))
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[(self.sorted * M) >> np.uint64(42)] = True
-        self.short = sorted({len(w) for _, w in self.items if len(w) < width})
-        self.prints = np.array([self._print(self._votes(_codes(w)).sum(0), len(w)) for _, w in self.items], np.uint64)
-        self._tables()
-
-    @staticmethod
-    def _votes(codes: np.ndarray) -> np.ndarray:
-        return np.unpackbits(codes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
-    @staticmethod
-    def _print(ones: np.ndarray, n: int) -> int:
-        return int(np.packbits(ones.astype(np.int64) * 2 > n, bitorder="little").view("<u8")[0])
-
-    def _tables(self) -> None:
-        """tables[block][value]: the items to try; values within radius // blocks bits of the item's block are filled in."""
-        bits, near = 64 // self.blocks, self.radius // self.blocks
-        masks = [sum(1 << b for b in c) for k in range(near + 1) for c in combinations(range(bits), k)]
-        self.tables = [defaultdict(list) for _ in range(self.blocks)]
-        for n, p in enumerate(self.prints.tolist()):
-            for b in range(self.blocks):
-                value = (p >> (b * bits)) & ((1 << bits) - 1)
-                for m in masks:
-                    self.tables[b][value ^ m].append(n)
-
-    def near(self, fingerprint: int) -> list[int]:
-        """All items within the radius, and only those."""
-        bits = 64 // self.blocks
-        found: set[int] = set()
-        for b in range(self.blocks):
-            found.update(self.tables[b].get((fingerprint >> (b * bits)) & ((1 << bits) - 1), ()))
-        return [n for n in found if (int(self.prints[n]) ^ fingerprint).bit_count() <= self.radius]
-
-    def search(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of the best window of every item that the text holds."""
-        words = words_of(text)
-        if not words or not self.items:
-            return []
-        quick = _quick(words)
-        hits: dict[int, list[int]] = defaultdict(list)
-        for width in {self.width, *self.short}:
-            if len(words) < width:
+        self.size = [len(w) for _, w in self.items]
+        codes = [_codes(w) for _, w in self.items]
+        self.weights = [Counter(shingle_codes(c, width).tolist()) for c in codes]
+        groups = defaultdict(list)
+        for n, c in enumerate(codes):
+            first, words = middle(len(c))
+            groups[words].append((n, fingerprint(c[first : first + words])))
+        self.groups = {k: (np.array([n for n, _ in v]), Blocks(np.array([p for _, p in v], np.uint64), radius)) for k, v in sorted(groups.items())}
+
+    def search(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
+        """For each text, (item, similarity, first word, words) of the best window of every item that it holds."""
+        out: list = [[] for _ in texts]
+        codes = [_codes(words_of(t)) for t in texts]
+        if not self.groups or not texts:
+            return out
+        flat = np.concatenate(codes)
+        ends = np.cumsum([len(c) for c in codes])
+        begin = ends - [len(c) for c in codes]
+        hits = defaultdict(set)
+        for size, at, prints in window_prints(flat, list(self.groups)):
+            numbers, blocks = self.groups[size]
+            for place, n in blocks.near(prints):
+                place = place + at
+                doc = np.searchsorted(ends, place, "right")
+                inside = place + size <= ends[doc]
+                for d, p, k in zip(doc[inside].tolist(), (place - begin[doc])[inside].tolist(), numbers[n[inside]].tolist()):
+                    hits[d, k].add(p)
+        for (d, n), places in sorted(hits.items()):
+            best = self._best(codes[d], n, sorted(places))
+            if best:
+                out[d].append((n, *best))
+        return out
+
+    def _best(self, codes: np.ndarray, n: int, places: list[int]) -> tuple[float, int, int] | None:
+        """(similarity, first word, words) of the best window around candidates whose middles start at ``places``, the first of equals."""
+        size, weights = self.size[n], self.weights[n]
+        if len(codes) <= size:
+            s = similarity(weights, Counter(shingle_codes(codes, self.width).tolist()))
+            return (s, 0, len(codes)) if s >= self.least else None
+        offset, last, ranges = middle(size)[0], len(codes) - size, []
+        for p in places:
+            lo, hi = max(0, p - offset - size), min(last, p - offset + size)
+            if ranges and lo <= ranges[-1][1] + 1:
+                ranges[-1][1] = max(ranges[-1][1], hi)
+            else:
+                ranges.append([lo, hi])
+        total = sum(weights.values())
+        best = (0.0, 0, 0)
+        for lo, hi in ranges:
+            shingles = shingle_codes(codes[lo : hi + size], min(self.width, size)).tolist()
+            if sum(x in weights for x in shingles) < self.least * total:
                 continue
-            codes = shingle_codes(quick, width)
-            at = np.flatnonzero(self.sieve[(codes * M) >> np.uint64(42)])
-            for p in at.tolist():
-                for n in self.owners.get(int(codes[p]), ()):
-                    if min(self.width, self.size[n]) == width:
-                        hits[n].append(p)
-        if not hits:
-            return []
-        exact = _codes(words)
-        # A window whose shared weight cannot reach the threshold is not opened.
-        sizes = defaultdict(list)
-        for n, places in hits.items():
-            if len(places) >= self.least * sum(self.weights[n].values()):
-                sizes[min(int(self.size[n]), len(words))].append((n, places))
-        best: dict[int, tuple[float, int, int]] = {}
-        for size, found in sizes.items():
-            starts = np.unique(np.concatenate([self._starts(np.array(p), size, len(words), self.least * sum(self.weights[n].values())) for n, p in found]))
-            wanted = {n for n, _ in found}
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                if not len(run):
-                    continue
-                lo, hi = int(run[0]), int(run[-1])
-                for at in range(lo, hi + 1, 4096):
-                    end = min(hi, at + 4095)
-                    sums = np.vstack([np.zeros((1, 64), np.int64), np.cumsum(self._votes(exact[at : end + size]), axis=0, dtype=np.int64)])
-                    ones = sums[size:] - sums[:-size]
-                    prints = np.packbits(ones * 2 > size, axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8")[:, 0]
-                    for k, p in enumerate(prints.tolist()):
-                        for n in self.near(p):
-                            if n in wanted:
-                                s = similarity(self.weights[n], Counter(shingle_codes(exact[at + k : at + k + size], self.width).tolist()))
-                                if s >= self.least and s > best.get(n, (0, 0, 0))[0]:
-                                    best[n] = (s, at + k, size)
-        return [(n, s, p, k) for n, (s, p, k) in sorted(best.items())]
-
-    def _starts(self, places: np.ndarray, size: int, total: int, need: float) -> np.ndarray:
-        """Starts of windows of ``size`` words that hold at least ``need`` of the places of an item's shingles."""
-        span = size - min(self.width, size)
-        places = np.unique(places)
-        change = np.zeros(total + 2, np.int64)
-        np.add.at(change, np.maximum(0, places - span), 1)
-        np.add.at(change, places + 1, -1)
-        return np.flatnonzero(np.cumsum(change)[: total - size + 1] >= need - 1e-9)
-
-
-def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = MAX_ITEMS) -> list[tuple]:
-    """The reference set; more than ``most`` items are refused rather than cut."""
-    rows = benchmark.select(id_col, text_col).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} benchmark items; run them in parts")
-    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-
-
-def contaminated(docs: DataFrame, items: list[tuple], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+            span, seen, shared = total, Counter(), 0
+            for k, x in enumerate(shingles):
+                if x in weights:
+                    seen[x] += 1
+                    shared += seen[x] <= weights[x]
+                if k >= span and (y := shingles[k - span]) in weights:
+                    shared -= seen[y] <= weights[y]
+                    seen[y] -= 1
+                if k >= span - 1 and shared / total > best[0]:
+                    best = (shared / total, lo + k - span + 1, size)
+        return best if best[0] >= self.least else None
+
+
+def parts_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", items: int = PART_ITEMS, size: int = PART_BYTES) -> Iterator[list[tuple]]:
+    """The items in parts of about ``items`` and ``size`` bytes at most, by a hash of id and text; each is brought to the driver by itself."""
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-2 * count // items) if count > items else 1, -(-2 * total // size) if total > size else 1)
+    for k in range(parts):
+        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()
+        yield sorted(((r[0], r[1]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+_INDEXES: dict = {}
+
+
+def _index(name: str, items, options: dict) -> Index:
+    """The worker process's index of a part: built once, kept until another part comes."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Index(items.value, **options)
+    return _INDEXES[name]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_items: int = PART_ITEMS, **options) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, similarity, first_word, n_words.
 
     The best window of the item's size (of a shorter document, the whole) is reported, the first of equal ones. Null and empty texts hold nothing;
-    items without a word are held by nothing. Repeated rows are reported each; a null id stays null. Other
+    items without a word are held by nothing. Very long texts are searched whole. Repeated rows and repeated items are reported each; a null id stays null. Other
     columns are ignored; empty tables give an empty result.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = None
+    for part in parts_of(benchmark, items=part_items):
+        name, items = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part)
 
-    def make():
-        index = Index(items, **options)
+        def make(name=name, items=items):
+            index = _index(name, items, options)
 
-        def work(ids, texts):
-            found = [(d, index.items[n][0], s, p, k) for d, t in zip(ids, texts) for n, s, p, k in index.search(t)]
-            cols = list(zip(*found)) or [[]] * 5
-            return pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())
+            def work(ids, texts):
+                found = [(d, index.items[n][0], s, p, k) for d, of in zip(ids, index.search(texts)) for n, s, p, k in of]
+                cols = list(zip(*found)) or [[]] * 5
+                return tuple(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())))
 
-        return work
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return per_row(rows, "doc_id long, item_id long, similarity double, first_word long, n_words long", make)
+            return work
 
+        found = per_row(rows, "doc_id long, item_id long, similarity double, first_word long, n_words long", make)
+        out = found if out is None else out.unionByName(found)
+    return out
 
-def clean_documents(docs: DataFrame, items: list[tuple], text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no benchmark item."""
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        index = Index(items, **options)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                yield part.filter(pa.array([not index.search(t) for t in part.column(at).to_pylist()], pa.bool_()))
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", part_items: int = PART_ITEMS, **options) -> DataFrame:
+    """The rows of ``docs`` (all columns) that hold no benchmark item.
 
-    return docs.mapInArrow(run, docs.schema)
+    Null and empty texts hold none and stay, as do repeated rows; very long texts are searched whole; an empty table gives an empty
+    result, and an empty benchmark leaves all rows.
+    """
+    at = docs.columns.index(text_col)
+    for k, part in enumerate(parts_of(benchmark, items=part_items)):
+        name, items = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches, name=name, items=items):
+            index = _index(name, items, options)
+            for batch in batches:
+                for k in range(0, batch.num_rows, 512):
+                    rows = batch.slice(k, 512)
+                    yield rows.filter(pa.array([not found for found in index.search(rows.column(at).to_pylist())], pa.bool_()))
+
+        # A further part works on what the one before has left.
+        docs = (cut(docs) if k else docs).mapInArrow(run, docs.schema)
+    return docs

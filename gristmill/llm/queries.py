@@ -17,7 +17,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), decontaminate.load_items(table(spark, sf_dir, "benchmark")))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -209,15 +210,17 @@ def test_decontamination_against_brute_force(spark):
     rows += [(500, None), (501, ""), (502, items[3][1]), (502, items[3][1]), (None, items[4][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    loaded = decontaminate.load_items(bench)
+    loaded = bench.withColumn("id", F.lit("clash"))
     got = Counter((x.doc_id, x.item_id, round(x.similarity, 9)) for x in decontaminate.contaminated(df, loaded).collect())
     want = Counter((d, i, round(s, 9)) for d, t in rows for i, b in items if (s := brute_contamination(t, b)))
     assert got == want and len(want) > 30
     held = {d for d, _, _ in want}
     assert sorted(x.doc_id for x in decontaminate.clean_documents(df, loaded).collect()) == sorted(d for d, t in rows if d not in held and not any(brute_contamination(t, b) for _, b in items))
-    assert decontaminate.contaminated(df.limit(0), loaded).count() == 0 and decontaminate.contaminated(df, []).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.load_items(bench, most=3)
+    assert decontaminate.contaminated(df.limit(0), loaded).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
+    # A benchmark of several parts gives the same.
+    assert len(list(decontaminate.parts_of(bench, items=3))) > 3
+    assert Counter((x.doc_id, x.item_id, round(x.similarity, 9)) for x in decontaminate.contaminated(df, loaded, part_items=3).collect()) == want
+    assert decontaminate.clean_documents(df, loaded, part_items=3).count() == len(rows) - sum(d in held for d, _ in rows)
 
 
 def test_document_shorter_than_item(spark):
@@ -232,22 +235,72 @@ def test_document_shorter_than_item(spark):
         return (grams(w) & grams(b)).total() / max(grams(w).total(), grams(b).total())
 
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((x.doc_id, x.item_id, round(x.similarity, 9), x.first_word, x.n_words) for x in decontaminate.contaminated(df, items).collect())
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((x.doc_id, x.item_id, round(x.similarity, 9), x.first_word, x.n_words) for x in decontaminate.contaminated(df, items_df).collect())
     want = Counter((d, i, round(s, 9), 0, len(decontaminate.words_of(t))) for d, t in rows for i, b in items if (s := whole(t, b)) >= 0.8)
     assert got == want and sum(d % 10 > 0 for d, *_ in want) > 10
     held = {d for d, *_ in want}
-    assert sorted(x.doc_id for x in decontaminate.clean_documents(df, items).collect()) == sorted(d for d, _ in rows if d not in held)
+    assert sorted(x.doc_id for x in decontaminate.clean_documents(df, items_df).collect()) == sorted(d for d, _ in rows if d not in held)
 
 
 def test_hamming_blocks_miss_none():
     r = random.Random(2)
-    index = decontaminate.Index([(i, prose(i, 30)) for i in range(50)])
-    for p in index.prints.tolist():
-        for _ in range(30):
+    prints = np.array([r.getrandbits(64) for _ in range(50)], np.uint64)
+    blocks = decontaminate.Blocks(prints)
+    some = []
+    for p in prints.tolist():
+        for _ in range(40):
             x = p
-            for b in r.sample(range(64), r.randint(0, 26)):
+            for b in r.sample(range(64), r.randint(0, 14)):
                 x ^= 1 << b
-            assert sorted(index.near(x)) == [n for n, q in enumerate(index.prints.tolist()) if (q ^ x).bit_count() <= index.radius]
+            some.append(x)
+    got = {(a, n) for at, own in blocks.near(np.array(some, np.uint64)) for a, n in zip(at.tolist(), own.tolist())}
+    assert got == {(a, n) for a, x in enumerate(some) for n, p in enumerate(prints.tolist()) if (p ^ x).bit_count() <= decontaminate.RADIUS}
+
+
+def test_blocks_prune():
+    """Of 10,000 items a window meets under 1 in 100."""
+    r = random.Random(3)
+    index = decontaminate.Index([(i, prose(i, r.randint(15, 60))) for i in range(10_000)])
+    codes = decontaminate._codes(decontaminate.words_of(prose(99, 3000)))
+    met = windows = 0
+    for size, _, prints in decontaminate.window_prints(codes, list(index.groups)):
+        windows += len(prints)
+        met += sum(len(at) for at, _ in index.groups[size][1].met(prints))
+    assert met / windows < 100
+
+
+def test_window_prints_are_those_of_the_windows(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 50)
+    codes = decontaminate._codes([f"w{k % 70}" for k in range(230)])
+    sizes = [1, 2, 3, 7, 8, 21, 60, 100, 229, 230, 300]
+    got = {(s, at + k): int(p) for s, at, prints in decontaminate.window_prints(codes, sizes) for k, p in enumerate(prints.tolist())}
+    assert got == {(s, at): decontaminate.fingerprint(codes[at : at + s]) for s in sizes for at in range(len(codes) - s + 1)}
+
+
+def test_recall_of_edited_passages():
+    """Items with words changed, put in, left out or cut off at an end: at least 0.99 of those of similarity 0.8 or more are found."""
+    r = random.Random(4)
+    rows = duckdb.sql("select item_id, text from '/root/testdata/sf0.1/benchmark.parquet' order by 1").fetchall()
+    index = decontaminate.Index(rows)
+    words = [w for t, in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall() for w in decontaminate.words_of(t)]
+    texts, items = [], []
+    for n, (_, own) in enumerate(index.items):
+        for kind in range(8):
+            w = list(own)
+            for _ in range(r.choice((1, 1, 2, 3)) if kind < 6 else 0):
+                p = r.randrange(len(w))
+                w[p : p + kind % 3] = [r.choice(words)] if kind % 3 < 2 else []
+            cut = round(len(w) * r.choice((0.1, 0.15, 0.18)))
+            w = w[cut:] if kind == 6 else w[: len(w) - cut] if kind == 7 else w
+            at = r.randrange(len(words) - 80)
+            texts.append(" ".join(words[at : at + 40] + w + words[at + 40 : at + 80]))
+            items.append(n)
+    found = [{n: s for n, s, _, _ in x} for x in index.search(texts)]
+    want = [max((decontaminate.similarity(index.weights[n], Counter(decontaminate.shingle_codes(c[k : k + index.size[n]], 5).tolist())) for k in range(len(c) - index.size[n] + 1)), default=0) for n, t in zip(items, texts) for c in [decontaminate._codes(decontaminate.words_of(t))]]
+    held = [(n, s, f) for n, s, f in zip(items, want, found) if s >= 0.8]
+    hit = sum(abs(f.get(n, 0) - s) < 1e-9 for n, s, f in held)
+    assert len(held) > 800 and hit / len(held) >= 0.99
 
 
 # secrets

@@ -61,8 +61,8 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {i for k, i in enumerate(ids) if least[k] == k} and len(set(least)) < len(ids)
     before = {r.doc_id: r.text for r in kept.collect()}
     kept = step("decontamination", kept)
-    bench = decontaminate.Index(decontaminate.load_items(spark.read.parquet(f"{SF}/benchmark.parquet")))
-    assert {r.doc_id for r in kept.collect()} == {i for i, t in before.items() if not bench.search(t)}
+    bench = decontaminate.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in before.items() if not bench.search([t])[0]}
     assert kept.columns == corpus_pipeline.COLUMNS
     packed = step("packing", kept)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in kept.collect()}
