@@ -107,8 +107,9 @@ def _packer(capacity: int, last: bool):
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = 4) -> DataFrame:
     """Places pieces (columns of ``pieces``): adds sequence_id and offset.
 
-    Pieces of equal length are ordered by doc_id and piece, so the result does not depend on how rows arrive.
-    Of null ids and repeated rows each gets a place of its own. An empty table gives an empty result.
+    ``parts`` must be written rows (a checkpoint): their numbers choose the groups. After ``rounds`` rounds what is left is packed as it is, in groups
+    still, so that at most a few sequences a group stay open. Of null ids and repeated rows each gets a place of its own. An empty table
+    gives an empty result.
     """
     kind = dict(parts.dtypes)["doc_id"]
     columns = PIECES.format(kind)
@@ -120,7 +121,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     for round_ in range(rounds):
         groups = max(1, -(-n // group))
         last = groups == 1 or round_ == rounds - 1
-        spread = F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(groups)).cast("int")
+        # By row numbers of written rows: null and repeated ids are spread like any other.
+        spread = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups)).cast("int")
         packed = cut(left.withColumn("grp", spread).groupBy("grp").applyInPandas(_packer(capacity, last), columns + ", grp int, seq long, offset long"))
         done = packed if last else packed.where("seq is not null")
         number = ((F.col("seq") * groups + F.col("grp")) * 8 + round_).alias("sequence_id")
@@ -136,5 +138,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """Cuts and packs all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Cuts and packs all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece of the end id; a very long text is cut into full pieces and a last one. Repeated rows and null ids
+    are each packed; other columns are ignored; an empty table gives an empty result.
+    """
     return pack(cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col)), capacity, group)

@@ -168,6 +168,11 @@ def test_language(spark):
     assert sum(by[i] == k for i, _, k in rows[:200]) == 200
     assert by[900] == by[901] == by[902] == "und" and by[903] == "en" and by[None] == "de"
     assert language.known_language(df, models).count() == len(rows) - 3
+    least = language.least_score(df, models)
+    assert 0.2 < least < 0.6 and language.known_language(df, models, least).count() == len(rows) - 3
+    junk = spark.createDataFrame([(1, "\u6f22\u5b57 \u304b\u306a " * 9), (2, "zqx jjv"), (3, "the house")], "doc_id long, text string")
+    assert [x.doc_id for x in language.known_language(junk, models, least).collect()] == [3]
+    assert language.least_score(df.limit(0), models) == 0 and language.known_language(junk, {}).count() == 3
     assert language.predict(df.limit(0), models).count() == 0 and language.learn(df.limit(0)) == {}
     assert {p for _, p, _ in [(0, *language.Ranker({}).predict("abc"))]} == {"und"}
 
@@ -183,6 +188,37 @@ def test_rank_order_distance_is_that_of_the_definition():
         assert ranker.predict(t) == (best, pytest.approx(1 - d[best] / (20 * len(own))))
 
 
+def test_n_grams_are_those_of_the_words():
+    """Against plain counting, with ties, signs that are no letters, and a very long text."""
+
+    def brute(text):
+        low = "".join(c if c.isalpha() else " " for c in text.lower())
+        out = Counter()
+        for w in low.split():
+            p = f" {w} "
+            out.update(w)
+            out.update(p[k : k + 2] for k in range(len(p) - 1))
+            out.update(p[k : k + 3] for k in range(len(p) - 2))
+        return out
+
+    r = random.Random(2)
+    texts = ["the cat", "Straße über ÉCOLE", "a1b_c \u00bd \u2461 x", "", "  ", "\u00bd \u2461 \u2167 \u00b2", "ab ba", "aaa aa a", prose(3, 20_000), "".join(r.choice("ab \u0130,9") for _ in range(500))]
+    names = {}
+    for t in texts:
+        codes, counts = np.unique(language.grams(t), return_counts=True)
+        want = brute(t)
+        assert sorted(counts.tolist()) == sorted(want.values()), t
+        for g in want:  # every n-gram has its own code
+            names.setdefault(g, set(language.grams(g if g.strip() == g else g.strip()).tolist()))
+        own = language.ranked(t, 50)
+        by = dict(zip(codes.tolist(), counts.tolist()))
+        assert [by[c] for c in own.tolist()] == sorted(want.values(), reverse=True)[:50]
+    ranker = language.Ranker({"b": language.ranked("same words", 400), "a": language.ranked("same words", 400)})
+    assert ranker.predict("same words") == ("a", 1.0)
+    for t in (None, "", "\u00bd \u2461", "12 3!", "\u2167"):
+        assert ranker.predict(t) == ("und", 0.0)
+
+
 # decontamination
 def brute_contamination(text, item, least=0.8):
     w, b = decontaminate.words_of(text), decontaminate.words_of(item)
@@ -407,6 +443,32 @@ def test_toxicity_held_out(spark):
     assert toxicity.scores(df.limit(0), model).count() == 0
 
 
+def test_risk_and_gradient_are_those_of_the_definition():
+    r = random.Random(3)
+    model = toxicity.Linear([f"t{k}" for k in range(6)])
+    draw = lambda n, share: [sorted(k for k in range(6) if r.random() < share) for _ in range(n)]
+    flat = lambda x: (np.array([i for f in x for i in f], np.int64), np.array([k for k, f in enumerate(x) for _ in f], np.int64), len(x))
+
+    def risk(w, b, pos, unl, prior):
+        z = lambda x: b + sum(w[i] for i in x)
+        loss = lambda v, y: np.log1p(np.exp(-v * y))
+        mean = lambda x, y: sum(loss(z(f), y) for f in x) / len(x)
+        return prior * mean(pos, 1), mean(unl, -1) - prior * mean(pos, -1)
+
+    signs = set()
+    for k in range(40):
+        pos, unl, prior = draw(7, 0.6), draw(11, 0.3), (0.1, 0.9)[k % 2]
+        model.weights, model.bias = np.array([r.gauss(0, 2) for _ in range(6)]), r.gauss(0, 1)
+        w, b = model.weights.copy(), model.bias
+        first, second = risk(w, b, pos, unl, prior)
+        assert model.risk(flat(pos), flat(unl), prior) == (pytest.approx(first), pytest.approx(second))
+        signs.add(second < 0)
+        total = (lambda w, b: -risk(w, b, pos, unl, prior)[1]) if second < 0 else (lambda w, b: sum(risk(w, b, pos, unl, prior)))
+        want = [(total(w + 1e-6 * e, b) - total(w - 1e-6 * e, b)) / 2e-6 for e in np.eye(6)] + [(total(w, b + 1e-6) - total(w, b - 1e-6)) / 2e-6]
+        assert np.allclose(model.gradient(flat(pos), flat(unl), prior), want, atol=1e-5)
+    assert signs == {True, False}
+
+
 # tokens, counts, packing
 ODD = ["", " ", "a's!'s x'sy don't, 12ab3 é,́b ,́ ≠ A.B-c_d 5⃣ q’s ٣٤", "'", "<|endoftext|> hi<|startoftext|>x <|", "İstanbul ΣΑΣ ſ 'S it'S", "a b c\u0085d", "KÅ ½ 漢字 かな 🎉🎉", "​ x᠎y ﬁ ǅ", "x" * 70_000 + " y", "a\x1cb\x1d c", prose(9, 5000), "1" * 300]
 
@@ -420,6 +482,28 @@ def test_chunk_encoder_gives_the_tokenizers_ids():
     assert [len(x) for x in tokens.ChunkEncoder(WORDS_PATH).encode([None, ""])] == [0, 0]
 
 
+def test_chunks_of_equal_form_have_their_own_ids():
+    """Thue-Morse words, which collide in every polynomial hash modulo 2 ** 64."""
+    t = Tokenizer.from_file(WORDS_PATH)
+    for k in (10, 11, 12):
+        word = "".join("ab"[n.bit_count() % 2] for n in range(1 << k))
+        pair = [word, word.translate(str.maketrans("ab", "ba"))]
+        e = tokens.ChunkEncoder(WORDS_PATH)
+        assert [x.tolist() for x in e.encode(pair)] == [t.encode(x, add_special_tokens=False).ids for x in pair]
+    with pytest.raises(ValueError):
+        tokens.ChunkEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def test_groups_split_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 1 + k % 300, k) for k in range(3000)] + [(7, 0, 0, 5, k) for k in range(500)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(common.cut(rows.repartition(3)), capacity=512, group=200).collect()
+    assert len(got) == 3500 and len({(x.sequence_id, x.offset) for x in got}) == 3500
+    sizes = {}
+    for x in got:
+        sizes.setdefault(x.sequence_id, []).append(x)
+    assert all(sum(x.length for x in v) <= 512 for v in sizes.values()) and len(sizes) <= 1.05 * sum(x.length for x in got) / 512
+
+
 def test_segments_end_between_chunks(monkeypatch):
     monkeypatch.setattr(tokens, "SEGMENT", 100)
     t = Tokenizer.from_file(WORDS_PATH)
