@@ -65,8 +65,12 @@ def _codes(words: list[str]) -> np.ndarray:
 
 
 def middle(size: int) -> tuple[int, int]:
-    """(first word, words) of the part of a window of ``size`` words that is fingerprinted; of short ones (where 0.8 means equal) all."""
+    """(first word, words) of the part of a window of ``size`` words that is fingerprinted; of short ones (where 0.8 means equal) all.
+
+    Over 8 words, multiples of 4 (of an eighth of the next power of two, if that is more), so that there are few sizes to compute.
+    """
     words = size if size <= 8 else -(-3 * size // 5)
+    words -= words % max(4, (1 << words.bit_length()) >> 3) if words > 8 else 0
     return (size - words) // 2, words
 
 
