@@ -167,11 +167,12 @@ class Blocks:
         """(place in found, number of the fingerprint) of all that share a block's neighbourhood, block by block."""
         blocks = found.astype("<u8", copy=False).view("<u2").reshape(-1, BLOCKS)
         for b in range(BLOCKS):
-            own = blocks[:, b]
+            own = blocks[:, b].astype(np.intp)
             at = np.flatnonzero(self.any[b][own])
             if len(at):
-                first = self.starts[b][own[at]]
-                size = self.starts[b][own[at].astype(np.int64) + 1] - first
+                own = own[at]
+                first = self.starts[b][own]
+                size = self.starts[b][own + 1] - first
                 ends = np.cumsum(size)
                 yield np.repeat(at, size), self.members[b][np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
 
@@ -193,6 +194,7 @@ class Index:
         self.size = [len(w) for _, w in self.items]
         codes = [_codes(w) for _, w in self.items]
         self.weights = [Counter(shingle_codes(c, width).tolist()) for c in codes]
+        self.shingles = [np.array(sorted(w), np.uint64) for w in self.weights]
         groups = defaultdict(list)
         for n, c in enumerate(codes):
             first, words = middle(len(c))
@@ -239,9 +241,11 @@ class Index:
         total = sum(weights.values())
         best = (0.0, 0, 0)
         for lo, hi in ranges:
-            shingles = shingle_codes(codes[lo : hi + size], min(self.width, size)).tolist()
-            if sum(x in weights for x in shingles) < self.least * total:
+            shingles = shingle_codes(codes[lo : hi + size], min(self.width, size))
+            own = self.shingles[n]
+            if np.count_nonzero(own[np.minimum(np.searchsorted(own, shingles), len(own) - 1)] == shingles) < self.least * total:
                 continue
+            shingles = shingles.tolist()
             span, seen, shared = total, Counter(), 0
             for k, x in enumerate(shingles):
                 if x in weights:
