@@ -1,12 +1,12 @@
 """Secret scan with multipart credential linking (DataFrame functions only).
 
 Base formats are reported always. Weak candidates (short assigned values and bare tokens, account identifiers,
-endpoints) are interval-joined within a scope of ``SCOPE`` code points and reported only when complementary
-parts co-occur: a weak secret needs an identifier, a weak identifier needs a secret, an endpoint needs both.
+endpoints) are interval-joined and reported only when complementary parts co-occur, that is, no more than ``SCOPE`` code
+points lie between the two spans: a weak secret needs an identifier, a weak identifier needs a secret, an endpoint needs both.
 
 Regular expressions run where the text is; what is shuffled are the lengths of matches and of the gaps between
 them, of which positions are running sums. The interval join is an equi-join on row and scope bucket (a part
-looks into three buckets), as a semi-join, so no pairs are emitted.
+looks into the buckets that it touches and the next ones), as a semi-join, so no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ PATTERNS = (
     (1, r"AKIA[A-Z0-9]+", 16, 0),
     (2, r"[0-9a-f]{32,}", 32, 0),
     (3, r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])", 40, 0),
-    (4, r"""(?i:\b(client_?id|access_?key_?id|account_?id|user_?name|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{4,200})""", 4, 2),
-    (5, r"""(?i:\b(https?|jdbc:[a-z]{2,12}|postgres(ql)?|mysql|mongodb(\+srv)?|redis|amqps?|s3|ftp)://)[^\s"'<>]{3,500}""", 3, 0),
+    (4, r"""(?i:\b(client_?id|access_?key_?id|account_?id|user_?name|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{4,}+)""", 4, 2),
+    (5, r"""(?i:\b(https?|jdbc:[a-z]{2,12}|postgres(ql)?|mysql|mongodb(\+srv)?|redis|amqps?|s3|ftp)://)[^\s"'<>]{3,}+""", 3, 0),
 )
 
 
@@ -44,10 +44,11 @@ def _found(text: Column, kind: int, pattern: str, least: int, group: int) -> Col
 
 
 def _within(parts: DataFrame, others: DataFrame) -> DataFrame:
-    """The parts that have one of the others within the scope."""
-    a = parts.withColumn("at", F.explode(F.sequence(F.expr(f"start div {SCOPE} - 1"), F.expr(f"start div {SCOPE} + 1"))))
-    b = others.select(F.col("row").alias("row_b"), F.expr(f"start div {SCOPE}").alias("at_b"), F.col("start").alias("start_b"))
-    near = (F.col("row") == F.col("row_b")) & (F.col("at") == F.col("at_b")) & (F.abs(F.col("start") - F.col("start_b")) <= SCOPE)
+    """The parts that have one of the others within the scope: the gap between the spans counts, however long they are."""
+    buckets = lambda lo, hi: F.explode(F.sequence(F.expr(f"({lo}) div {SCOPE}"), F.expr(f"({hi}) div {SCOPE}")))
+    a = parts.withColumn("at", buckets(f"greatest(start - {SCOPE}, 0)", f"end + {SCOPE}"))
+    b = others.select(F.col("row").alias("row_b"), F.col("start").alias("start_b"), F.col("end").alias("end_b"), buckets("start", "end").alias("at_b"))
+    near = (F.col("row") == F.col("row_b")) & (F.col("at") == F.col("at_b")) & (F.col("start_b") - F.col("end") <= SCOPE) & (F.col("start") - F.col("end_b") <= SCOPE)
     return a.join(b, near, "left_semi").drop("at").distinct()
 
 
@@ -56,7 +57,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Counts and base_sha256 are of the base spans; spans lists these and the linked candidates, by start, then
     kind; positions are code points, ends exclusive. A null text counts as empty and has no span. Repeated rows are
-    reported each; a null id stays null. Other columns are ignored; an empty table gives an empty result.
+    reported each; a null id stays null. Very long texts are searched whole, and spans of any length reported whole. Other columns are ignored; an
+    empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<kind:int,k:int,gap:bigint,size:bigint,ok:boolean>>")

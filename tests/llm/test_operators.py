@@ -378,6 +378,37 @@ def test_weak_parts_need_their_complements(spark):
     assert "weak_secret" in got[7][1] and got[5][1].startswith("endpoint:0:20")
 
 
+def brute_linked(t):
+    """All spans by start, then kind: base ones, and weak parts (start, kind, end) that miss every base span and have complements near."""
+    base = brute_secrets(t)
+    key = "(?i:(password|passwd|secret|token|api_?key))"
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(key + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) < 8]
+    weak += [(m.start(), 3, m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])", t)]
+    weak += [(m.start(), 4, m.end()) for m in re.finditer(r"""(?i:\b(client_?id|access_?key_?id|account_?id|user_?name|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}""", t)]
+    weak += [(m.start(), 5, m.end()) for m in re.finditer(r"""(?i:\b(https?|jdbc:[a-z]{2,12}|postgres(ql)?|mysql|mongodb(\+srv)?|redis|amqps?|s3|ftp)://)[^\s"'<>]{3,}""", t)]
+    every = base + [w for w in weak if all(b[2] <= w[0] or b[0] >= w[2] for b in base)]
+    near = lambda x, kinds: any(o[1] in kinds and max(o[0] - x[2], x[0] - o[2]) <= 300 for o in every)
+    needs = {3: [(1, 4)], 4: [(0, 2, 3)], 5: [(1, 4), (0, 2, 3)]}
+    return sorted({x for x in every if all(near(x, k) for k in needs.get(x[1], []))})
+
+
+def test_links_against_brute_force(spark):
+    r = random.Random(9)
+    fill = lambda n: " ".join("word" for _ in range(n))
+    bits = ["token=abc", "password: " + "Zz9" * 400, "AKIA" + "B2" * 10, "client_id=" + "u7" * 150, "user_name: bob.smith", "https://host.example/" + "p" * 700, "jdbc:mysql://db/x", "f" * 40, "Zq9kD/4+w" * 4 + "Abcd", "0123456789abcdef" * 2, "login=al", "s3://bucket-x"]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            parts += [r.choice(bits), fill(r.choice((0, 1, 20, 58, 59, 60, 61, 62, 120)))]
+        rows.append((i, " ".join(parts)))
+    name = lambda x: f"{secrets.KINDS[x[1]]}:{x[0]}:{x[2]}"
+    want = {i: ",".join(map(name, brute_linked(t))) for i, t in rows}
+    got = {x.doc_id: x.spans for x in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert all(any(k in v for v in want.values()) for k in secrets.KINDS) and any(int(s.split(":")[2]) - int(s.split(":")[1]) > 600 for v in want.values() for s in v.split(",") if s.startswith("endpoint"))
+
+
 # personal data
 def brute_pii(t):
     s = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
