@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder; a local one only where none is set (tests)."""
+    """The folder all executors share: the session's checkpoint folder. Where none is set, a local one, but only with a local master."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gristmill-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: the executors need a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gristmill-"))
     return sc.getCheckpointDir()
 
 
@@ -84,13 +87,14 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str,
     """Left join of rows with one row per key of groups (key, size, ...), safe from hot keys.
 
     Keys with at least total / share rows, of which there are at most ``share`` whatever the data, are
-    broadcast; their rows, already answered, are spread over all partitions of the join for the others.
+    broadcast; their rows, already answered, are spread over all partitions of the join for the others (by row number, so that
+    null and repeated ids do not meet; rows must come from files or a checkpoint, whose order is fixed).
     """
     more = [c for c in groups.columns if c not in (key, size)]
     hot = groups.where(F.col(size) * share >= total)
     cold = groups.where(F.col(size) * share < total)
     first = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"), F.col(size).alias("_s0"), *[F.col(c).alias(f"_h_{c}") for c in more])), F.col(key) == F.col("_hot"), "left")
-    salted = first.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int"))
+    salted = first.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread, F.monotonically_increasing_id()), F.lit(1 << 20))).cast("int"))
     other = cold.select(F.col(key).alias("_cold"), F.lit(0).alias("_zero"), F.col(size).alias("_s1"), *[F.col(c).alias(f"_c_{c}") for c in more])
     out = salted.join(other, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_zero")), "left")
     return out.select(*rows.columns, F.coalesce("_s0", "_s1").alias(size), *[F.when(F.col("_hot").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in more])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, cut, shared_dir
+from .common import attach, bitmap, cut, flagged, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 4 << 20
@@ -45,25 +45,30 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record_id(page: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def record(page: int | None, url: str | None, payload: bytes | None, refers_to: int | None, date: str, digest: str | None = None, size: int | None = None, refers_url: str | None = None) -> bytes:
+    """One compressed record; a revisit where refers_to is given, which carries the HTTP header but no payload.
 
-
-def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One compressed record; a revisit where refers_to is given, which carries the HTTP header but no payload."""
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{page}"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    A revisit can do without the payload where its digest (hex) and size are given. Every record has an id of its own, also those of
+    repeated or null page ids; a revisit names the response by URI, date and page.
+    """
+    if payload is not None:
+        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+    link = lambda u, p: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", u or "") or f"urn:page:{p}"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Target-URI: {link(url, page)}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {link(refers_url, refers_to)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"X-Page-Id: {'' if page is None else page}", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+WRITTEN = ("page_id", "url", "payload", "refers_to", "digest", "size", "refers_url")
+
+
 def write_archives(rows: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z", most: int = FILE) -> DataFrame:
-    """Writes rows (page_id, url, payload, refers_to) and returns (path, bytes, records) of every archive."""
+    """Writes rows (columns of ``with_revisits``) and returns (path, bytes, records) of every archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
@@ -71,12 +76,12 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2020-01-01T00:00:0
         done = []
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                for page, url, payload, refers in zip(*[c.to_pylist() for c in batch.slice(at, 64).columns]):
+                for page, url, payload, refers, *rest in zip(*[c.to_pylist() for c in batch.slice(at, 64).columns]):
                     if out is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         path, size, n = f"{folder}/{name}", 0, 0
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    data = record(page, url, payload or b"", refers, date)
+                    data = record(page, url, payload, refers, date, *rest)
                     out.write(data)
                     size, n = size + len(data), n + 1
                     if size >= most:
@@ -91,7 +96,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2020-01-01T00:00:0
 
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
-    return cut(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, bytes long, records long"))
+    return cut(rows.select(*WRITTEN).mapInArrow(run, "path string, bytes long, records long"))
 
 
 def _header_ok(data: bytes) -> bool:
@@ -101,31 +106,45 @@ def _header_ok(data: bytes) -> bool:
         return False
 
 
-def _find(f, at: int, end: int, size: int) -> int | None:
-    """The first place from ``at`` on, before ``end``, where a member with a WARC header starts."""
-    while at < end:
+class Forward:
+    """A file read once, forwards from an offset: what was read beyond a member is the beginning of the next."""
+
+    def __init__(self, f, at: int):
         f.seek(at)
-        data = f.read(min(STEP + 4096, size - at))
-        k = data.find(MAGIC)
-        while 0 <= k < min(STEP, end - at):
-            if _header_ok(data[k : k + 4096]):
-                return at + k
-            k = data.find(MAGIC, k + 1)
-        at += STEP
-    return None
-
-
-def _member(f, at: int) -> tuple[bytes, int]:
-    """(content, offset after it) of the member at ``at``."""
-    f.seek(at)
-    un, out, fed = zlib.decompressobj(31), [], 0
-    while not un.eof:
-        data = f.read(STEP)
-        if not data:
-            raise EOFError(f"record at {at} is cut off")
-        fed += len(data)
-        out.append(un.decompress(data))
-    return b"".join(out), at + fed - len(un.unused_data)
+        self.f, self.base, self.data, self.pos = f, at, b"", 0
+
+    @property
+    def offset(self) -> int:
+        return self.base + self.pos
+
+    def fill(self, need: int) -> int:
+        """Has ``need`` bytes at hand, or all that are left; returns how many there are."""
+        while len(self.data) - self.pos < need and (more := self.f.read(STEP)):
+            self.data, self.base, self.pos = self.data[self.pos :] + more, self.base + self.pos, 0
+        return len(self.data) - self.pos
+
+    def find(self, end: int) -> int | None:
+        """Goes to the first place before ``end`` where a member with a WARC header starts."""
+        while self.offset < end and self.fill(len(MAGIC)) >= len(MAGIC):
+            k = self.data.find(MAGIC, self.pos)
+            self.pos = k if k >= 0 else len(self.data) - len(MAGIC) + 1
+            if k >= 0 and self.offset < end:
+                self.fill(4096)
+                if _header_ok(self.data[self.pos : self.pos + 4096]):
+                    return self.offset
+                self.pos += 1
+        return None
+
+    def member(self) -> bytes:
+        """The content of the member here; goes to the place after it."""
+        un, out, at = zlib.decompressobj(31), [], self.offset
+        while not un.eof:
+            if not self.fill(1):
+                raise EOFError(f"record at {at} is cut off")
+            piece = self.data[self.pos : self.pos + (16 << 10)]
+            out.append(un.decompress(piece))
+            self.pos += len(piece) - len(un.unused_data)
+        return b"".join(out)
 
 
 def _parse(content: bytes) -> tuple:
@@ -155,14 +174,13 @@ def _read_ranges(ranges: DataFrame) -> DataFrame:
                 fs, place = _open(path)
                 rows = []
                 with fs.open_input_file(place) as f:
-                    at = _find(f, lo, hi, size) if enter is None else enter
-                    first = last = at
-                    while at is not None and at < hi:
-                        content, at = _member(f, at)
-                        rows.append((path, lo, None, None, *_parse(content)))
-                        last = at
-                        if at < hi:
-                            at = _find(f, at, hi, size)
+                    source = Forward(f, lo if enter is None else enter)
+                    first = last = source.find(hi) if enter is None else enter
+                    while last is not None and last < hi:
+                        rows.append((path, lo, None, None, *_parse(source.member())))
+                        last = source.offset
+                        if last < hi:
+                            last = source.find(hi)
                         if len(rows) >= 1000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
                             rows = []
@@ -196,20 +214,34 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE, attempts: int =
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to): of equal payloads of at least ``least`` bytes all but the largest id refer to that.
+    """Rows to write (columns ``WRITTEN``): of equal payloads of at least ``least`` bytes all but the largest id refer to that.
 
-    A null html is an empty payload. Rows repeated with the largest id are each written as response; a null id is smaller
-    than any other, and pages whose ids are all null are responses.
+    Pages that share no payload, by a bitmap of hashes, are not shuffled. The others are sent to their group without the payload, except
+    those that stay a response, by a bitmap of groups with their largest ids. A null html is an empty payload. Rows repeated with
+    the largest id are each written as response; a null id is smaller than any other, and pages whose ids are all null are responses.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("key", F.concat(F.sha1("payload"), F.octet_length("payload").cast("string")))
-    groups = cut(rows.where(F.octet_length("payload") >= least).groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("size")))
-    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    out = attach(rows, groups, "key", "size", "page_id", total)
-    return out.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("hash", F.when(F.col("size") >= least, F.xxhash64("payload")))
+    shared = rows.where("hash IS NOT NULL").groupBy("hash").count().where("count > 1").select(F.col("hash").alias("_k"))
+    marked = flagged(rows, "hash", bitmap(shared), "_shared").withColumn("_shared", F.col("_shared") & F.col("hash").isNotNull())
+    alone = marked.where("NOT _shared").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("digest"), "size", F.lit(None).cast("string").alias("refers_url"))
+    some = marked.where("_shared").withColumn("digest", F.sha1("payload")).withColumn("key", F.concat("digest", F.col("size").cast("string")))
+    first = F.max(F.struct("page_id", "url"))
+    groups = cut(some.groupBy("key").agg(first.alias("first"), F.count("*").alias("count")).select("key", "count", F.col("first.page_id").alias("keep"), F.col("first.url").alias("refers_url")))
+    winners = bitmap(groups.select(F.xxhash64("key", "keep").alias("_k")))
+    some = flagged(some.withColumn("_own", F.xxhash64("key", "page_id")), "_own", winners, "_response")
+    thin = some.select("page_id", "url", F.when(F.col("_response"), F.col("payload")).alias("payload"), "digest", "size", "key")
+    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    out = attach(thin, groups, "key", "count", "page_id", total).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
+    return alone.unionByName(out.select(*WRITTEN))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
-    """Writes the pages as archives (into a new folder of the shared one, if none is given) and reads these back."""
+    """Writes the pages as archives (into a new folder of the shared one, if none is given) and reads these back.
+
+    One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri. A null html is an empty payload; repeated rows
+    are each written; a null id stays null; very long pages are one record each. Other columns are ignored; an empty table gives an empty result.
+    """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(with_revisits(pages, **columns), folder))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -644,9 +645,39 @@ def test_ranges_of_any_size_own_each_record_once(spark, tmp_path):
     r = random.Random(1)
     inner = b"".join(warc.record(900 + k, "u", r.randbytes(300), None, "2020-01-01T00:00:00Z") for k in range(30))
     rows = [(k, f"u{k}", r.randbytes(5) * 40 if k % 4 else inner, None) for k in range(40)]
-    df = spark.createDataFrame(rows, "page_id long, url string, payload binary, refers_to long").repartition(2)
+    df = spark.createDataFrame([(*x, None, None, None) for x in rows], "page_id long, url string, payload binary, refers_to long, digest string, size long, refers_url string").repartition(2)
     files = warc.write_archives(df, str(tmp_path / "w"), most=60_000)
     assert files.count() > 2
     for size in (701, 5000, 1 << 20):
         got = sorted(x.page_id for x in warc.read_archives(files, size).collect())
         assert got == list(range(40)), size
+
+
+class Counted(io.BytesIO):
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken = getattr(self, "taken", 0) + len(data)
+        return data
+
+
+def test_an_archive_is_read_once():
+    """By ranges of a megabyte, some 3 MB of small records and a long one: hardly more bytes than the archive has."""
+    r = random.Random(4)
+    members = [warc.record(k, f"u{k}", r.randbytes(r.choice((10, 900, 5000))), None, "2020-01-01T00:00:00Z") for k in range(1500)] + [warc.record(9999, "u", r.randbytes(300_000), None, "2020-01-01T00:00:00Z")]
+    r.shuffle(members)
+    data = b"".join(members)
+    seen, taken, ranges = 0, 0, range(0, len(data), 1 << 20)
+    for lo in ranges:
+        f, hi = Counted(data), min(len(data), lo + (1 << 20))
+        source = warc.Forward(f, lo)
+        at = source.find(hi)
+        while at is not None and at < hi:
+            warc._parse(source.member())
+            seen += 1
+            at = source.find(hi) if source.offset < hi else None
+        taken += f.taken
+    assert seen == len(members) and len(data) > 3 << 20 and taken <= 1.2 * len(data) + len(ranges) * (1 << 20)
+    ids = {re.search(rb"WARC-Record-ID: (\S+)", zlib.decompress(m, 31))[1] for m in members}
+    assert len(ids) == len(members)
+    one = [warc.record(p, "u", b"x", q, "2020-01-01T00:00:00Z") for p, q in ((1, None), (1, None), (None, None), (None, None), (None, 1))]
+    assert len({re.search(rb"WARC-Record-ID: (\S+)", zlib.decompress(m, 31))[1] for m in one}) == 5
