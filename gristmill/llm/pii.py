@@ -1,10 +1,16 @@
 """Personal data: base formats, and further spans chosen among candidates by boosted trees.
 
-High-recall generators propose overlapping spans (local telephone numbers, social-security-like numbers,
-account numbers, IPv6 addresses, spelled-out e-mail addresses). Trees boosted on format and context features
-score them; scores are calibrated, each kind has a threshold at which it is precise on held-out examples, and
-of overlapping candidates the likeliest is taken. The trees are fitted on examples generated here with a fixed
-seed (there are no labels in the tables). Base spans always stay and candidates that overlap one are dropped.
+High-recall generators propose overlapping spans: every stretch of up to six digit groups that could be a telephone number, a card
+number, an IP address or a social-security-like number, account numbers, IPv6 addresses, spelled-out e-mail addresses. Trees
+boosted on features of format and context score them; scores are calibrated, each kind has a threshold at which it is
+precise on examples not fitted, and of overlapping candidates the likeliest is taken.
+
+The trees learn from candidates of the documents, of which a check tells whether they are personal (Luhn, octets up to 255, the
+number of digits, the account number's modulus: whether a base span, or a valid account number, is exactly the candidate). The checks are hidden
+from the features, so the trees have to go by format and context, and find what the base patterns miss, such as a telephone number that
+runs into another number. Kinds that the documents lack are learned from examples generated with a fixed seed. Documents whose
+crc32(id as text) mod 4 is 2 are never fitted on; ``quality`` measures precision and recall there. Base spans always
+stay and candidates that overlap one are dropped.
 """
 
 from __future__ import annotations
@@ -12,10 +18,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
@@ -23,7 +29,7 @@ from .common import per_row
 
 # Kinds in the order of results.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("phone_local", "ssn", "iban", "ipv6", "email_spelled")
+ADDED = ("phone_like", "card_like", "ip_like", "ssn", "iban", "ipv6", "email_spelled")
 KINDS = BASE + ADDED
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -76,41 +82,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-# Candidate generators: kind -> (text that must occur, or none; pattern).
-GENERATORS = {
-    4: ("", re.compile(r"(?<![0-9])\(?[0-9]{2,5}\)?(?:[ ./-]\(?[0-9]{2,5}\)?){1,4}(?![0-9])")),
-    5: ("-", re.compile(r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")),
-    6: ("", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    7: (":", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}::?){3,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])")),
-    8: ("dot", re.compile(r"[A-Za-z0-9._-]{1,64} ?[\[( ]at[\]) ] ?[A-Za-z0-9-]{1,64}(?: ?[\[( ]dot[\]) ] ?[A-Za-z0-9-]{1,64}){1,3}")),
+PHONE_LIKE, CARD_LIKE, IP_LIKE, SSN, IBAN, IPV6, SPELLED = range(4, 11)
+#: At most about so many documents are drawn for fitting, and so many candidates of each.
+SAMPLE = 20_000
+PER_DOCUMENT = 200
+#: Runs of digit groups, one sign or bracket apart; and patterns of the other kinds, with what must occur in the text.
+RUN = re.compile(r"[0-9]++(?:[)]?[ ./-]?[ (]?[0-9]++)*+")
+PATTERNS = {
+    IBAN: ("", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+    IPV6: (":", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}::?){3,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])")),
+    SPELLED: ("dot", re.compile(r"[A-Za-z0-9._-]{1,64} ?[\[( ]at[\]) ] ?[A-Za-z0-9-]{1,64}(?: ?[\[( ]dot[\]) ] ?[A-Za-z0-9-]{1,64}){1,3}")),
 }
 # Words that stand near personal data or near plain numbers.
 NEAR = re.compile(r"\b(?:tel|phone|call|fax|mobile|cell|telefon|handy|appel|llame|tfno|ssn|social|security|iban|account|konto|compte|cuenta|bank|ipv6|addr|address|host|mail|e-mail|email|contact|kontakt|contacto)\b", re.I)
 PLAIN = re.compile(r"\b(?:version|order|invoice|isbn|page|chapter|date|price|total|build|item|serial|part|no|nr|year|eur|usd|sku|ratio|score|results?)\b|[$€£#]", re.I)
 
 
+def _number_kinds(sizes: list[int], signs: str) -> list[int]:
+    """What a stretch of digit groups of these sizes, with these signs between, could be."""
+    n, out = sum(sizes), []
+    if 7 <= n <= 15:
+        out.append(PHONE_LIKE)
+    if 13 <= n <= 19 and not signs.strip(" -"):
+        out.append(CARD_LIKE)
+    if len(sizes) == 4 and signs == "..." and max(sizes) <= 3:
+        out.append(IP_LIKE)
+    if sizes == [3, 2, 4] and signs == "--":
+        out.append(SSN)
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of all proposals; a run of n digit groups has at most 6 n stretches."""
     found = []
-    for kind, (must, pattern) in GENERATORS.items():
+    for run in RUN.finditer(text):
+        if run.end() - run.start() < 7:
+            continue
+        groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", run.group())]
+        at = run.start()
+        for i in range(len(groups)):
+            start = at + groups[i][0]
+            start -= text[start - 1 : start] == "("
+            start -= text[start - 1 : start] == "+"
+            for j in range(i, min(len(groups), i + 6)):
+                end = at + groups[j][1]
+                signs = "".join(text[at + a : at + b] for (_, a), (b, _) in zip(groups[i:j], groups[i + 1 : j + 1]))
+                found += [(kind, start, end) for kind in _number_kinds([b - a for a, b in groups[i : j + 1]], signs)]
+    for kind, (must, pattern) in PATTERNS.items():
         if not must or must in text:
             found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
     return found
 
 
+def _valid_account(span: str) -> bool:
+    number = re.sub("[^A-Za-z0-9]", "", span[4:] + span[:4])
+    return int("".join(str(int(c, 36)) for c in number)) % 97 == 1
+
+
+def labels(text: str, found: list[tuple[int, int, int]]) -> list[int | None]:
+    """Of each candidate whether a check says it is personal; None where none can say."""
+    base = {(k, a, b) for k, a, b in base_spans(text)}
+    same = {PHONE_LIKE: 3, CARD_LIKE: 2, IP_LIKE: 1}
+    # Where a base pattern matches but its check fails, the whole is not personal, but a part may still be: no label there.
+    failed = [(m.start(), m.end()) for p in (PHONE, CARD) for m in p.finditer(text) if not any((k, m.start(), m.end()) in base for k in (2, 3)) and m.end() - m.start() >= 10]
+    out: list[int | None] = []
+    for kind, a, b in found:
+        if kind in same:
+            good = (same[kind], a, b) in base
+            out.append(1 if good else None if any(x < b and a < y and (x, y) != (a, b) for x, y in failed) else 0)
+        else:
+            out.append(int(_valid_account(text[a:b])) if kind == IBAN else None)
+    return out
+
+
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
+    """Format and context of a span; none of the checks that give the labels."""
     span = text[start:end]
     before, after = text[max(0, start - 40) : start], text[end : end + 20]
-    digits = re.sub("[^0-9]", "", span)
     groups = [len(g) for g in re.findall("[0-9]+", span)]
+    digits = sum(groups)
     near, plain = [m.end() for m in NEAR.finditer(before)], [m.end() for m in PLAIN.finditer(before)]
-    number = "".join(str(int(c, 36)) for c in re.sub("[^A-Za-z0-9]", "", span[4:] + span[:4])) if kind == 6 else "0"
     signs = [c for c in span if not c.isalnum()]
+    close = re.search(r"[0-9)][ ./-]?\(?$", before)
     return [
-        kind, end - start, len(digits), len(groups), max(groups, default=0), min(groups, default=0), len(set(signs)), float(luhn(digits)),
-        len(set(digits)) / max(1, len(digits)), float(kind == 6 and int(number or 0) % 97 == 1), float(span[:1] == "0"), float("(" in span),
-        float("/" in span), float("." in span), float("-" in span), float(" " in span), float(before[-1:].isalnum() or before[-1:] in tuple(".,-/")),
-        float(after[:1] in tuple("%/") or after[:1].isalnum()), 41 - (len(before) - near[-1]) if near else 0, 41 - (len(before) - plain[-1]) if plain else 0,
-        float("::" in span), sum(c in "abcdefABCDEF" for c in span), float("(at)" in span or "[at]" in span), float(len(groups) == 3 and groups[0] == 4 and groups[1] <= 2), groups[-1] if groups else 0,
+        kind, end - start, digits, len(groups), max(groups, default=0), min(groups, default=0), len(set(signs)), len(set(span)) / max(1, len(span)),
+        float(span[:1] == "0"), float(span[:1] == "+"), float(span[:1] == "("), float("(" in span), float("/" in span), float("." in span), float("-" in span), float(" " in span),
+        float(before[-1:].isalnum() or before[-1:] in tuple(".,-/")), float(after[:1] in tuple("%/-") or after[:1].isalnum()), float(close is not None),
+        float(re.match(r"[)]?[ ./-]?\(?[0-9]", after) is not None), 41 - (len(before) - near[-1]) if near else 0, 41 - (len(before) - plain[-1]) if plain else 0,
+        float("::" in span), sum(c in "abcdefABCDEF" for c in span), float("(at)" in span or "[at]" in span), float(len(groups) == 3 and groups[0] == 4 and groups[1] <= 2),
+        groups[0] if groups else 0, groups[-1] if groups else 0, float("+" in before[-24:]),
     ]
 
 
@@ -153,23 +213,71 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(rows, float), np.array(labels, float), np.array(kinds)
 
 
-@cache
-def model(seed: int = 11, precise: float = 0.98) -> tuple[Boosted, dict[int, float]]:
-    """The fitted trees and, per kind, the least calibrated probability at which held-out examples are ``precise``."""
-    x, y, _ = _examples(6000, seed)
-    trees = Boosted().fit(x, y)
-    x, y, kinds = _examples(4000, seed + 1)
-    half = np.arange(len(y)) % 2 == 0
-    trees.calibrate(x[half], y[half])
-    p, y, kinds = trees.probability(x[~half]), y[~half], kinds[~half]
+def held_out(id_col: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def _labelled(docs: DataFrame, text_col: str) -> DataFrame:
+    """(kind, y, x) of the documents' candidates that have a label, at most ``PER_DOCUMENT`` of each document, spread over it."""
+
+    def make():
+        def work(texts):
+            rows = []
+            for t in texts:
+                found = candidates(t or "")
+                if found:
+                    own = [(c, y) for c, y in zip(found, labels(t, found)) if y is not None]
+                    rows += [(c[0], y, features(t, *c)) for c, y in own[:: -(-len(own) // PER_DOCUMENT) or 1]]
+            cols = list(zip(*rows)) or [[], [], []]
+            return pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.float64()))
+
+        return work
+
+    return per_row(docs.select(F.col(text_col).alias("text")), "kind int, y int, x array<double>", make)
+
+
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = sorted((list(r.x), r.y, r.kind) for r in rows.collect())
+    return np.array([x for x, _, _ in got], float).reshape(len(got), len(features("", SSN, 0, 0))), np.array([y for _, y, _ in got], float), np.array([k for _, _, k in got], np.int64)
+
+
+def fitted(real: tuple, seed: int = 11, precise: float = 0.98) -> tuple[Boosted, dict[int, float]]:
+    """Trees, and per kind the least calibrated probability at which examples not fitted are ``precise``; real: (features, label, kind)."""
+    made = _examples(6000, seed)
+    x, y, kinds = made if not len(real[1]) else tuple(np.concatenate(c) for c in zip(made, real))
+    part = np.random.default_rng(seed).permutation(len(y)) % 4
+    trees = Boosted().fit(x[part < 2], y[part < 2])
+    trees.calibrate(x[part == 2], y[part == 2])
+    p, y, kinds = trees.probability(x[part == 3]), y[part == 3], kinds[part == 3]
     least = {}
-    for kind in GENERATORS:
+    for kind in range(len(BASE), len(KINDS)):
         own = kinds == kind
         good = [t for t in np.unique(p[own]) if t >= 0.5 and y[own & (p >= t)].mean() >= precise]
         least[kind] = float(min(good, default=2.0))
     return trees, least
 
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Boosted, dict[int, float]]:
+    """Fits on the candidates of about ``sample`` documents that are not held out, drawn by a hash of id and text.
+
+    The driver receives features of at most ``PER_DOCUMENT`` candidates of each. Without documents the generated examples alone are used.
+    """
+    rows = docs.where(~held_out(id_col)).where(F.col(text_col).rlike("[0-9]"))
+    n = rows.count()
+    draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(9)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return fitted(_collected(_labelled(rows.where(draw < min(1.0, sample / max(1, n))), text_col)))
+
+
+def quality(docs: DataFrame, trees: Boosted, least: dict[int, float], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict[str, tuple[float, float, int, int]]:
+    """(precision, recall, positive candidates, candidates) of each kind among the candidates with a label of about ``sample`` held-out documents."""
+    rows = docs.where(held_out(id_col))
+    draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(9)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    x, y, kinds = _collected(_labelled(rows.where(draw < min(1.0, sample / max(1, rows.count()))), text_col))
+    taken = trees.probability(x) >= np.array([least.get(k, 2.0) for k in kinds.tolist()])
+    ratio = lambda a, b: float(a / b) if b else 0.0
+    return {KINDS[k]: (ratio((taken & (y == 1))[own].sum(), taken[own].sum()), ratio((taken & (y == 1))[own].sum(), y[own].sum()), int(y[own].sum()), int(own.sum())) for k in np.unique(kinds).tolist() for own in [kinds == k]}
+
+
 def all_spans(text: str, trees: Boosted, least: dict[int, float]) -> tuple[list, list]:
     """(base spans, base and added spans), each by kind, then start."""
     base = base_spans(text)
@@ -200,22 +308,23 @@ def listed(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Boosted, dict[int, float]] | None = None) -> DataFrame:
+    """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans.
 
-    Counts and base_sha256 are of the base spans, spans lists base and added ones; positions are code points. A
-    null text counts as empty and has no span. Repeated rows are reported each; a null id stays null. Other columns are ignored.
+    ``model`` is what ``learn`` returns; without one it is learned from ``docs``. n_added and n_spans count the added and all spans. Counts and base_sha256 are of the base spans, spans lists base and added ones; positions are code points. A
+    null text counts as empty and has no span. Repeated rows are reported each; a null id stays null. Very long
+    texts are searched whole. Other columns are ignored; an empty table gives an empty result.
     """
-    trees, least = model()
+    trees, least = model or learn(docs, id_col, text_col)
 
     def make():
         def work(ids, texts):
             found = [all_spans(t or "", trees, least) for t in texts]
             counts = np.array([np.bincount([k for k, _, _ in b], minlength=4)[:4] for b, _ in found], np.int64).reshape(-1, 4)
-            return ids, *counts.T.copy(), [hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], [listed(s) for _, s in found], np.array([len(s) - len(b) for b, s in found], np.int64)
+            return ids, *counts.T.copy(), [hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], [listed(s) for _, s in found], np.array([len(s) - len(b) for b, s in found], np.int64), np.array([len(s) for _, s in found], np.int64)
 
         return work
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return per_row(rows, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", make).withColumnRenamed("id", id_col)
+    return per_row(rows, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long", make).withColumnRenamed("id", id_col)
