@@ -189,7 +189,7 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     hexes = lambda k: ":".join(f"{r.getrandbits(16):x}" for _ in range(k))
     own = [
-        ("tel", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"), ("call", lambda: f"0{digits(3)} {digits(7)[:5]} {digits(3)}"), ("telefon", lambda: f"0{digits(2)}/{digits(4)} {digits(3)}"), ("mobile", lambda: f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"),
+        ("tel", lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}"), ("call", lambda: f"+{digits(2)} {digits(3)} {digits(4)}-{digits(3)}"), ("tel", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"), ("call", lambda: f"0{digits(3)} {digits(7)[:5]} {digits(3)}"), ("telefon", lambda: f"0{digits(2)}/{digits(4)} {digits(3)}"), ("mobile", lambda: f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"),
         ("ssn", lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"), ("iban", iban), ("account", iban), ("ipv6 address", lambda: hexes(8)), ("host", lambda: f"{hexes(4)}::{hexes(1)}"),
         ("mail", lambda: f"{word()} (at) {word()} (dot) com"), ("contact", lambda: f"{word()}.{word()} [at] {word()} [dot] org"), ("contact", lambda: f"{word()} at {word()} dot net"),
     ]
@@ -205,7 +205,7 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cue = cue if r.random() < (0.75 if mine else 0.5) else ""
         head = f"{' '.join(word() for _ in range(r.randint(0, 6)))} {cue}{r.choice((': ', ' ', ' = ')) if cue else ' '}"
         span = make()
-        text = f"{head}{span}{r.choice(('', '.', ',', ' ' + word()))} {word()}"
+        text = f"{head}{span}{r.choice(('', '.', ',', ' ' + word(), ' ' + digits(r.randint(1, 12))))} {word()}"
         for kind, a, b in candidates(text):
             rows.append(features(text, kind, a, b))
             labels.append(mine and abs(a - len(head)) <= 1 and abs(b - len(head) - len(span)) <= 1)
