@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import small
+
 CUTOFFS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
 LEVELS = tuple(i / 10 for i in range(11))
 
@@ -23,7 +25,7 @@ def judged(run: DataFrame, qrels: DataFrame, graded: bool = False, descending: b
     grade = F.max(F.col("rel") if graded else (F.col("rel") >= 1).cast("int"))
     rel = qrels.groupBy("query_id", "doc_id").agg(grade.alias("rel"))
     num = relevant_counts(qrels) if not graded else qrels.groupBy("query_id").agg(F.sum("rel").alias("num_rel")).where("num_rel > 0")
-    rows = run.select("query_id", "doc_id", "score").join(F.broadcast(num), "query_id").join(rel, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    rows = run.select("query_id", "doc_id", "score").join(small(num), "query_id").join(rel, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id") if descending else F.asc("doc_id"))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("ix", F.row_number().over(order)).withColumn("hits", F.sum("rel").over(upto))
@@ -89,16 +91,49 @@ def ndcg(rows: DataFrame, compat: bool = True) -> DataFrame:
     return sums.select("query_id", F.round(F.try_divide(F.col("dcg"), ideal), 6).alias("ndcg"))
 
 
+def per_topic(rows: DataFrame, depth: int = 1000) -> DataFrame:
+    """(query_id, num_ret, num_rel, num_rel_ret, ap, r_prec, ndcg) in one aggregation; definitions as in the single measures (nDCG in compat mode)."""
+    top = F.col("ix") <= depth
+    n = F.col("num_ret")
+    gain = F.sum((F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("ix") + 1.0))
+    each = rows.groupBy("query_id").agg(
+        F.count("*").alias("num_ret"), F.max("num_rel").alias("num_rel"), F.sum(F.when(top, F.col("rel"))).alias("num_rel_ret"),
+        F.round(F.sum(F.when(top & (F.col("rel") > 0), F.col("rel") * F.col("prec")).otherwise(0.0)) / F.max("num_rel"), 6).alias("ap"),
+        F.round(F.sum(F.when(top & (F.col("ix") <= F.col("num_rel")), F.col("rel")).otherwise(0)) / F.max("num_rel"), 6).alias("r_prec"), gain.alias("dcg"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + 1 / F.log2(n + i + 1.0))
+    return each.withColumn("ndcg", F.round(F.try_divide(F.col("dcg"), ideal), 6)).drop("dcg")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """One row: topics, totals, and the macro averages map, r_prec and ndcg."""
-    per = average_precision(rows).join(r_precision(rows), "query_id").join(ndcg(rows), "query_id")
-    return per.agg(F.count("*").alias("topics"), F.sum("num_ret").alias("num_ret"), F.sum("num_rel").alias("num_rel"), F.sum("num_rel_ret").alias("num_rel_ret"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("r_prec"), 6).alias("r_prec"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+    return per_topic(rows).agg(F.count("*").alias("topics"), F.sum("num_ret").alias("num_ret"), F.sum("num_rel").alias("num_rel"), F.sum("num_rel_ret").alias("num_rel_ret"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("r_prec"), 6).alias("r_prec"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
 def report_lines(rows: DataFrame) -> DataFrame:
-    """(query_id, line): a line of text per query and measure group."""
-    ap = average_precision(rows).join(r_precision(rows), "query_id")
-    return ap.select("query_id", F.format_string("Queryid: %s Retrieved: %d Relevant: %d Rel_ret: %d AP: %.4f R-Prec: %.4f", F.col("query_id").cast("string"), "num_ret", "num_rel", "num_rel_ret", "ap", "r_prec").alias("line"))
+    """(query_id, n, line): the report of every topic, and with a null query_id that of the averages over topics, in the order of n.
+
+    Totals, interpolated precision at the recall levels, average precision, precision, recall and F1 at the cut-offs, R-precision, nDCG.
+    """
+    per = per_topic(rows).select("query_id", "num_ret", "num_rel", "num_rel_ret", "ap", "r_prec", "ndcg")
+    curve = interpolated(rows).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.format_string("%.2f", "level"), "precision"))).alias("curve"))
+    at = cutoffs(rows).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("precision", "recall", "f1")))).alias("at"))
+    topics = per.join(curve, "query_id").join(at, "query_id")
+    numbers = ["num_ret", "num_rel", "num_rel_ret", "ap", "r_prec", "ndcg"]
+    mean = lambda c: F.avg(c)
+    averages = topics.agg(
+        *[(F.sum(c) if c.startswith("num") else mean(c)).alias(c) for c in numbers],
+        F.create_map(*[x for v in LEVELS for k in [f"{v:.2f}"] for x in (F.lit(k), mean(F.col("curve")[k]))]).alias("curve"),
+        F.create_map(*[x for k in CUTOFFS for x in (F.lit(k), F.struct(*[mean(F.col("at")[k][c]).alias(c) for c in ("precision", "recall", "f1")]))]).alias("at"), F.count("*").alias("topics"),
+    ).where("topics > 0")
+    every = topics.select(F.col("query_id").cast("string").alias("query_id"), *numbers, "curve", "at").unionByName(averages.select(F.lit(None).cast("string").alias("query_id"), *numbers, "curve", "at"))
+    text = lambda form, *c: F.format_string(form, *c)
+    lines = [F.concat(F.lit("Queryid: "), F.coalesce("query_id", F.lit("all"))), text("Retrieved: %d", F.col("num_ret").cast("long")), text("Relevant: %d", F.col("num_rel").cast("long")), text("Rel_ret: %d", F.col("num_rel_ret").cast("long")), F.lit("Interpolated recall - precision averages:")]
+    lines += [text(f"at {v:.2f} %.4f", F.col("curve")[f"{v:.2f}"]) for v in LEVELS]
+    lines += [text("Average precision: %.4f", F.col("ap")), F.lit("Precision, recall, F1 at the cut-offs:")]
+    lines += [text(f"at {k} docs: %.4f %.4f %.4f", F.col("at")[k]["precision"], F.col("at")[k]["recall"], F.col("at")[k]["f1"]) for k in CUTOFFS]
+    lines += [text("R-Precision: %.4f", F.col("r_prec")), text("nDCG: %.4f", F.col("ndcg"))]
+    return every.select("query_id", F.posexplode(F.array(*lines)).alias("n", "line"))
 
 
 def precision_recall_points(rows: DataFrame, depth: int = 1000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .index import Index
-from .ranking import bm25, ranked, small
+from .ranking import best, bm25, small
 
 
 def expansion_terms(index: Index, terms: DataFrame, model=bm25, docs: int = 10, most: int = 10) -> DataFrame:
@@ -16,8 +16,8 @@ def expansion_terms(index: Index, terms: DataFrame, model=bm25, docs: int = 10,
     Over the best ``docs`` documents: term frequencies are summed, and so are the terms' corpus df (once per document that
     holds the term); the weight is ttf ln(N / df) and may be negative. Ties go to the term that sorts first.
     """
-    best = small(ranked(model(index, terms), docs).select("query_id", "doc_id"))
-    held = index.tf.join(best, "doc_id").join(index.terms.select("term", "df"), "term")
+    first = small(best(index, terms, model, docs).select("query_id", "doc_id"))
+    held = index.tf.join(first, "doc_id").join(index.terms.select("term", "df"), "term")
     sums = held.groupBy("query_id", "term").agg(F.sum("tf").alias("ttf"), F.sum("df").alias("df"))
     weighed = sums.withColumn("weight", F.round(F.col("ttf") * F.ln(F.lit(float(index.n_docs)) / F.col("df")), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
@@ -43,7 +43,7 @@ def significant_terms(index: Index, terms: DataFrame, most: int = 10) -> DataFra
     held = index.tf.select("doc_id", F.col("term").alias("token")).join(wanted, "token")
     both = held.join(index.tf.select("doc_id", "term"), "doc_id").where("term <> token").groupBy("token", "term").agg(F.count("*").alias("fxy"))
     df = index.terms.select("term", "df")
-    rows = both.join(df.withColumnRenamed("df", "fy"), "term").join(F.broadcast(df.select(F.col("term").alias("token"), F.col("df").alias("fx")).join(wanted, "token")), "token")
+    rows = both.join(df.withColumnRenamed("df", "fy"), "term").join(small(df.select(F.col("term").alias("token"), F.col("df").alias("fx")).join(wanted, "token")), "token")
     top, low = F.ln(F.greatest("fx", "fy")), F.ln(F.least("fx", "fy"))
     under = F.ln(F.lit(float(index.n_docs))) - low
     score = F.round(F.when(under > 0, F.exp(-(top - F.ln("fxy")) / under)).otherwise(F.lit(0.0)), 6)

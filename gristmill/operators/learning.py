@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Binarizer, CountVectorizer, NGram, VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
+from pyspark.ml.feature import CountVectorizer, NGram, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .evaluation import average_precision, judged
-from .ranking import ranked
+from .ranking import ranked, small
+from .shared import written
 
 # Fixed value: the order of features.
 FEATURES = ("okapi_bm25", "okapi_tf", "okapi_tf_idf", "unigram_lm_jm", "unigram_lm_laplace")
@@ -35,7 +38,7 @@ def negative_fill(bm25_run: DataFrame, judged_labels: DataFrame, total: int = 10
     relevant = judged_labels.where("label = 1").select("query_id", "doc_id")
     order = Window.partitionBy("query_id").orderBy(F.asc("score"), F.asc("doc_id"))
     worst = bm25_run.join(relevant, ["query_id", "doc_id"], "left_anti").withColumn("ix", F.row_number().over(order)).where(F.col("ix") <= total)
-    fill = worst.join(F.broadcast(have), "query_id", "left").where(F.col("ix") <= total - F.coalesce("n", F.lit(0))).select("query_id", "doc_id", F.lit(0).alias("label"))
+    fill = worst.join(small(have), "query_id", "left").where(F.col("ix") <= total - F.coalesce("n", F.lit(0))).select("query_id", "doc_id", F.lit(0).alias("label"))
     return judged_labels.select("query_id", "doc_id", "label").unionByName(fill).distinct()
 
 
@@ -57,8 +60,6 @@ def rank_models(seed: int = 1234) -> dict:
 
 def ranked_by(model, table: DataFrame, probability: bool = False) -> DataFrame:
     """Predictions as a run; a logistic model ranks by class unless its probability is asked for."""
-    from pyspark.ml.functions import vector_to_array
-
     scored = model.transform(table)
     score = vector_to_array("probability")[1] if probability else F.col("prediction")
     return ranked(scored.select("query_id", "doc_id", "label", score.alias("score")))
@@ -68,19 +69,39 @@ def mean_average_precision(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return average_precision(judged(run, qrels)).agg(F.round(F.avg("ap"), 6).alias("map"))
 
 
-def train_and_evaluate(table: DataFrame, qrels: DataFrame, models: dict, draws: int = 5) -> list[tuple[str, int, float, float]]:
-    """(model, draw, MAP on the training queries, MAP on the test queries)."""
-    out = []
+def checked(table: DataFrame, features: int = len(FEATURES)) -> DataFrame:
+    """The training table; a row without a label, or whose vector has another length, raises an error when it is read."""
+    good = F.col("label").isNotNull() & (F.size(vector_to_array("features")) == features)
+    return table.where(F.assert_true(good, F.lit("training row without label or of wrong length")).isNull())
+
+
+def train_and_evaluate(table: DataFrame, qrels: DataFrame, models: dict, draws: int = 5) -> DataFrame:
+    """(model, draw, map_train, map_test): MAP on the training and the test queries of every model and draw.
+
+    The predictions of all models and draws are one run, whose topics are (model, draw, side, query), so that they are judged in one pass.
+    """
+    table = written(checked(table))
+    runs = []
     for draw in range(draws):
-        test = in_test(F.col("query_id"), draw)
-        train_rows, test_rows = table.where(~test).persist(), table.where(test).persist()
+        side = F.when(in_test(F.col("query_id"), draw), F.lit("test")).otherwise(F.lit("train"))
+        rows = table.where(~in_test(F.col("query_id"), draw)).persist()
         for name, model in models.items():
-            fitted = model.fit(train_rows)
-            maps = [mean_average_precision(ranked_by(fitted, rows), qrels).first()[0] for rows in (train_rows, test_rows)]
-            out.append((name, draw, maps[0], maps[1]))
-        train_rows.unpersist()
-        test_rows.unpersist()
-    return out
+            scored = model.fit(rows).transform(table)
+            runs.append(scored.select(F.concat_ws("/", F.lit(name), F.lit(str(draw)), side, "query_id").alias("query_id"), "query_id", "doc_id", F.col("prediction").cast("double").alias("score")).toDF("query_id", "topic", "doc_id", "score"))
+        rows.unpersist()
+    every = written(reduce(DataFrame.unionByName, runs))
+    # Judgements for every topic of that name, by a join on the topic itself.
+    topics = every.select("query_id", "topic").distinct()
+    own = topics.join(qrels.withColumnRenamed("query_id", "topic"), "topic").select("query_id", "doc_id", "rel")
+    ap = average_precision(judged(ranked(every.drop("topic")), own))
+    part = F.split("query_id", "/")
+    sides = ap.select(part[0].alias("model"), part[1].cast("int").alias("draw"), part[2].alias("side"), "ap").groupBy("model", "draw").pivot("side", ["train", "test"]).agg(F.round(F.avg("ap"), 6))
+    return sides.select("model", "draw", F.col("train").alias("map_train"), F.col("test").alias("map_test"))
+
+
+def mean_over_draws(maps: DataFrame) -> DataFrame:
+    """(model, map_train, map_test): means over the draws."""
+    return maps.groupBy("model").agg(F.round(F.avg("map_train"), 6).alias("map_train"), F.round(F.avg("map_test"), 6).alias("map_test"))
 
 
 def df_range(tokens: DataFrame, n_docs: int, low: float = 0.02, high: float = 0.95) -> DataFrame:
@@ -103,9 +124,8 @@ def text_classifiers(seed: int = 1234) -> dict:
     """Logistic regression, decision tree and Bernoulli naive Bayes (on presence)."""
     return {
         "logistic": text_pipeline(LogisticRegression(maxIter=50, regParam=0.01)),
+        # 30 is the deepest tree that the library grows.
         "tree": text_pipeline(DecisionTreeClassifier(maxDepth=30, seed=seed, maxMemoryInMB=512)),
         "bernoulli": text_pipeline(NaiveBayes(modelType="bernoulli"), binary=True),
     }
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Binarizer")]

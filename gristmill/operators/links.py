@@ -1,7 +1,8 @@
 """Links: extraction from pages, the edge table, degrees, PageRank and HITS.
 
-Iterations are DataFrame joins over a fixed edge table; every step's small state is written to the session's
-checkpoint folder (or kept, where none is set), so plans do not grow.
+Iterations are DataFrame joins over a fixed edge table, which is written once, partitioned by the end that a round joins on, so
+that a round shuffles node state only. A node with very many edges is dealt to several partitions by a salt. Every step's
+state is written to the shared folder, so plans do not grow.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import partitioned, written
+
 ABSOLUTE = r"^([A-Za-z][A-Za-z0-9_+.-]*:)?//[^/?#]+"
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 
@@ -115,25 +118,43 @@ def sinks(edges: DataFrame) -> DataFrame:
     return vertices(edges).join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+#: Edges of a node in a partition; a node with more is dealt to several.
+PART_EDGES = 200_000
+
+
+def _by_end(edges: DataFrame, end: str, other: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(edges with the end's count, partitioned for joins on it; (id, parts) of the nodes at that end; columns to join on), both written.
+
+    The columns are the end alone, or the end and salt where some node has more edges than ``PART_EDGES``.
+    """
+    counts = written(edges.groupBy(end).agg(F.count("*").alias("count")).withColumn("parts", F.ceil(F.col("count") / PART_EDGES).cast("int")))
+    split = (counts.agg(F.max("parts")).first()[0] or 1) > 1
+    joined = edges.join(counts, end)
+    joined = joined.withColumn("salt", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")) if split else joined
+    on = [end, "salt"] if split else [end]
+    return partitioned(joined.drop("parts"), *on), counts.select(F.col(end).alias("id"), "parts"), on
+
 
+def _given(state: DataFrame, on: list[str]) -> DataFrame:
+    """State (id, ..., parts) for a join with such edges: once for every part of the node's edges."""
+    state = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) if len(on) > 1 else state
+    return state.drop("parts").withColumnRenamed("id", on[0])
 
-def _graph(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(edges with the source's out-degree, nodes, their number)."""
-    edges = edges.distinct()
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    edges = _kept(edges.join(out, "src"))
-    nodes = _kept(vertices(edges))
-    return edges, nodes, nodes.count()
 
+def _graph(edges: DataFrame) -> tuple[DataFrame, DataFrame, int, list[str]]:
+    """(edges by source, nodes (id, parts; null for nodes without out-links), their number, columns to join on)."""
+    edges, sources, on = _by_end(written(edges.distinct()), "src", "dst")
+    nodes = partitioned(vertices(edges).join(sources, "id", "left"), "id")
+    return edges, nodes, nodes.count(), on
 
-def pagerank_step(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, n: int, d: float = 0.85) -> DataFrame:
+
+def pagerank_step(edges: DataFrame, nodes: DataFrame, ranks: DataFrame, n: int, on: list[str], d: float = 0.85) -> DataFrame:
     """(1 - d) / N + d S / N + d sum of rank / out-degree over in-links, S being the rank of nodes without out-links."""
-    gained = edges.join(ranks, edges.src == ranks.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("gain"))
-    sink = ranks.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("sink"))
+    given = _given(ranks.where("parts IS NOT NULL"), on)
+    gained = edges.join(given, on).groupBy("dst").agg(F.sum(F.col("rank") / F.col("count")).alias("gain"))
+    sink = ranks.where("parts IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("sink"))
     both = nodes.join(gained, nodes.id == gained.dst, "left").crossJoin(F.broadcast(sink))
-    return both.select("id", ((1 - d) / n + d * F.col("sink") / n + d * F.coalesce("gain", F.lit(0.0))).alias("rank"))
+    return both.select("id", "parts", ((1 - d) / n + d * F.col("sink") / n + d * F.coalesce("gain", F.lit(0.0))).alias("rank"))
 
 
 def perplexity(ranks: DataFrame) -> float:
@@ -143,24 +164,23 @@ def perplexity(ranks: DataFrame) -> float:
 
 def pagerank(edges: DataFrame, iterations: int | None = None, d: float = 0.85, most: int = 200) -> DataFrame:
     """(id, rank); a fixed number of iterations, or until four perplexities in a row agree in their whole part."""
-    edges, nodes, n = _graph(edges)
-    ranks = nodes.select("id", F.lit(1.0 / max(1, n)).alias("rank"))
+    edges, nodes, n, on = _graph(edges)
+    ranks = nodes.select("id", "parts", F.lit(1.0 / max(1, n)).alias("rank"))
     seen: list[int] = []
     for _ in range(most if iterations is None else iterations):
         if iterations is None:
             seen.append(int(perplexity(ranks)))
             if len(seen) >= 4 and len(set(seen[-4:])) == 1:
                 break
-        ranks = _kept(pagerank_step(edges, nodes, ranks, n, d))
-    return ranks
+        ranks = written(pagerank_step(edges, nodes, ranks, n, on, d))
+    return ranks.select("id", "rank")
 
 
-def _hits_side(edges: DataFrame, base: DataFrame, scores: DataFrame, at: str, other: str, missing: float) -> DataFrame:
-    """(id, score): for each page of the base set the sum over its neighbours of their score, or ``missing``."""
-    own = edges.join(base.select(F.col("id").alias(at)), at, "left_semi")
-    sums = own.join(scores.select(F.col("id").alias(other), "score"), other, "left").groupBy(at).agg(F.sum(F.coalesce("score", F.lit(missing))).alias("score"))
-    norm = F.sqrt(F.sum(F.col("score") * F.col("score")))
-    total = sums.agg(norm.alias("norm"))
+def _hits_side(edges: DataFrame, scores: DataFrame, parts: DataFrame, on: list[str], at: str, missing: float) -> DataFrame:
+    """(id, score): for each page the sum over its neighbours of their score, or ``missing``; edges come by the other end."""
+    given = _given(scores.join(parts, "id") if len(on) > 1 else scores, on)
+    sums = edges.join(given, on, "left").groupBy(at).agg(F.sum(F.coalesce("score", F.lit(missing))).alias("score"))
+    total = sums.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
     return sums.crossJoin(F.broadcast(total)).select(F.col(at).alias("id"), F.when(F.col("norm") == 0, F.col("score")).otherwise(F.col("score") / F.col("norm")).alias("score"))
 
 
@@ -174,12 +194,15 @@ def hits(edges: DataFrame, base: DataFrame | None = None, iterations: int | None
     Neighbours without a score count ``missing`` (1, as in the reference; 0 is the usual definition). Without a number of iterations it
     stops when both entropies have moved by at most 0.001 three times in a row.
     """
-    edges = _kept(edges.distinct())
-    base = _kept(vertices(edges) if base is None else base)
-    empty = base.limit(0).select("id", F.lit(0.0).alias("score"))
+    edges = written(edges.distinct())
+    # The pages of the base set only, once for both sides; edges by the end whose scores a side reads.
+    within = lambda end: edges if base is None else edges.join(base.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+    into, sources, by_src = _by_end(within("dst"), "src", "dst")
+    out, targets, by_dst = _by_end(within("src"), "dst", "src")
+    empty = edges.limit(0).select(F.col("src").alias("id"), F.lit(0.0).alias("score"))
     auth, hub, seen = empty, empty, [(0.0, 0.0)]
     for i in range(most if iterations is None else iterations):
-        auth, hub = _kept(_hits_side(edges, base, hub, "dst", "src", missing)), _kept(_hits_side(edges, base, auth, "src", "dst", missing))
+        auth, hub = written(_hits_side(into, hub, sources, by_src, "dst", missing)), written(_hits_side(out, auth, targets, by_dst, "src", missing))
         if iterations is None:
             seen.append((entropy(auth), entropy(hub)))
             if len(seen) > 3 and all(abs(a[k] - b[k]) <= 0.001 for a, b in zip(seen[-4:], seen[-3:]) for k in (0, 1)):
@@ -187,6 +210,22 @@ def hits(edges: DataFrame, base: DataFrame | None = None, iterations: int | None
     return auth, hub
 
 
+def text_root_set(run: DataFrame, pages: DataFrame, n: int = 1000, page_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id): the URLs of the n best documents of a run (query_id, doc_id, score, rank), the root set of a full-text query."""
+    first = run.where(F.col("rank") <= n).select(F.col("doc_id").alias(page_col)).distinct()
+    return pages.join(first, page_col, "left_semi").select(F.col(url_col).alias("id")).distinct()
+
+
+def sampled_in_links(edges: DataFrame, root: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
+    """(dst, src): for each root page ``draws`` in-links drawn with replacement, by a hash of page and draw, so that runs agree."""
+    own = edges.join(root.select(F.col("id").alias("dst")), "dst", "left_semi").distinct()
+    order = Window.partitionBy("dst").orderBy("src")
+    counted = own.withColumn("n", F.row_number().over(order) - 1)
+    sizes = own.groupBy("dst").agg(F.count("*").alias("size"))
+    drawn = sizes.select("dst", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), "size").select("dst", F.pmod(F.xxhash64("dst", "draw", F.lit(seed)), F.col("size")).cast("int").alias("n"))
+    return drawn.join(counted, ["dst", "n"]).select("dst", "src")
+
+
 def base_set(edges: DataFrame, root: DataFrame, cap: int = 200) -> DataFrame:
     """(id): root pages, all they link to, and per page at most ``cap`` in-links, chosen by a hash so that runs agree."""
     out = edges.join(root.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))

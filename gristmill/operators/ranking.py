@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import analyze, exploded
 from .index import Index
+from .shared import written
 
 #: Query terms in all that are broadcast; more are joined by shuffling.
 MOST_TERMS = 2_000_000
@@ -29,8 +30,9 @@ def query_weights(terms: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    """Broadcast, if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Written, counted, and broadcast if it has at most ``most`` rows."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def matches(index: Index, terms: DataFrame) -> DataFrame:
@@ -75,28 +77,46 @@ def lucene_bm25(index: Index, terms: DataFrame, k1: float = 1.2, b: float = 0.75
     return _summed(matches(index, terms), idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / index.avg_dl)))
 
 
-def lm_laplace(index: Index, terms: DataFrame) -> DataFrame:
-    """Scores of all documents with a term: -|Q| ln(dl + V) plus ln(tf + 1) for each query term held.
+def _gains(rows: DataFrame, part: Column, fill: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, dl, gain): the sums of the parts, and 0 for the documents of ``fill`` that hold no query term, in one aggregation."""
+    none = fill.crossJoin(queries.select("query_id")).select("query_id", "doc_id", "dl", F.lit(0.0).alias("part"))
+    return rows.select("query_id", "doc_id", "dl", part.alias("part")).unionByName(none).groupBy("query_id", "doc_id").agg(F.first("dl").alias("dl"), F.sum("part").alias("gain"))
 
-    The queries are the stated set that is held against all documents; no (document, term) product is made.
+
+def lm_laplace(index: Index, terms: DataFrame, k: int | None = None) -> DataFrame:
+    """-|Q| ln(dl + V) plus ln(tf + 1) for each query term held, of all documents that have a term.
+
+    With ``k`` only what can be among a query's k best: the documents that hold a query term, and the k best without regard to
+    the query, which are the k shortest (of equal ones those with the larger ids), since holding a term only adds. Without it the scores of all
+    documents for all queries. Ties beyond the sixth digit aside, the k best are the same.
     """
     v = float(index.vocabulary)
     sizes = small(terms.groupBy("query_id").agg(F.count("*").alias("q")))
-    gain = matches(index, terms).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.ln(F.col("tf") + 1.0)).alias("gain"))
-    every = index.lengths.crossJoin(sizes)
-    score = F.coalesce("gain", F.lit(0.0)) - F.col("q") * F.ln(F.col("dl") + v)
-    return every.join(gain, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(score, 6).alias("score"))
+    every = index.lengths if k is None else F.broadcast(index.lengths.orderBy("dl", F.desc("doc_id")).limit(k))
+    gained = _gains(matches(index, terms), F.col("qtf") * F.ln(F.col("tf") + 1.0), every, sizes).join(sizes, "query_id")
+    return gained.select("query_id", "doc_id", F.round(F.col("gain") - F.col("q") * F.ln(F.col("dl") + v), 6).alias("score"))
+
 
+def lm_jelinek_mercer(index: Index, terms: DataFrame, lam: float = 0.9, k: int | None = None) -> DataFrame:
+    """Sum of ln(lam tf / dl + (1 - lam) ttf / V); a term the corpus lacks adds 0. As a baseline of the query plus gains.
 
-def lm_jelinek_mercer(index: Index, terms: DataFrame, lam: float = 0.9) -> DataFrame:
-    """Sum of ln(lam tf / dl + (1 - lam) ttf / V); a term the corpus lacks adds 0. As a baseline of the query plus gains."""
+    With ``k`` only what can be among a query's k best: documents without a query term are all equal, so the k with the largest ids are enough.
+    """
     v = float(index.vocabulary)
     base = F.ln((1 - lam) * F.col("ttf") / v)
-    base_of = small(query_weights(terms).join(index.terms, "term").groupBy("query_id").agg(F.sum(F.col("qtf") * base).alias("base")))
+    base_of = query_weights(terms).join(index.terms, "term").groupBy("query_id").agg(F.sum(F.col("qtf") * base).alias("base"))
     queries = small(terms.select("query_id").distinct().join(base_of, "query_id", "left"))
-    gain = matches(index, terms).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * (F.ln(lam * F.col("tf") / F.col("dl") + (1 - lam) * F.col("ttf") / v) - base)).alias("gain"))
-    score = F.coalesce("base", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))
-    return index.lengths.select("doc_id").crossJoin(queries).join(gain, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(score, 6).alias("score"))
+    every = index.lengths if k is None else F.broadcast(index.lengths.orderBy(F.desc("doc_id")).limit(k))
+    part = F.col("qtf") * (F.ln(lam * F.col("tf") / F.col("dl") + (1 - lam) * F.col("ttf") / v) - base)
+    gained = _gains(matches(index, terms), part, every, queries).join(queries, "query_id")
+    return gained.select("query_id", "doc_id", F.round(F.coalesce("base", F.lit(0.0)) + F.col("gain"), 6).alias("score"))
+
+
+def ngrams(terms: DataFrame, n: int) -> DataFrame:
+    """(query_id, pos, gram): every run of n consecutive query terms."""
+    after = Window.partitionBy("query_id").orderBy("pos")
+    gram = F.array(*[F.lead("term", k).over(after) for k in range(n)])
+    return terms.select("query_id", "pos", gram.alias("gram")).where(F.forall("gram", lambda w: w.isNotNull()))
 
 
 def bigrams(terms: DataFrame) -> DataFrame:
@@ -122,6 +142,31 @@ def min_span(a: Column, b: Column, cap: int = 500, compat: bool = True) -> Colum
     return F.when(F.element_at(a, 1) >= F.element_at(b, 1), F.lit(cap)).otherwise(least) if compat else least
 
 
+def covering_span(lists: Column, cap: int = 500) -> Column:
+    """Of n sorted position lists (an array of arrays) the least distance between the first and last of n positions, one of each; at most ``cap``.
+
+    One pass over all positions in order, keeping each list's latest: the span that ends at a position starts at the earliest of these.
+    """
+    n = F.size(lists)
+    marked = F.array_sort(F.flatten(F.transform(lists, lambda own, k: F.transform(own, lambda p: F.struct(p.alias("p"), k.alias("k"))))))
+    start = F.struct(F.array_repeat(F.lit(None).cast("int"), n).alias("last"), F.lit(cap).alias("m"))
+
+    def step(acc, e):
+        last = F.transform(acc["last"], lambda x, k: F.when(k == e["k"], e["p"]).otherwise(x))
+        full = F.forall(last, lambda x: x.isNotNull())
+        return F.struct(last.alias("last"), F.when(full, F.least(acc["m"], e["p"] - F.array_min(last))).otherwise(acc["m"]).alias("m"))
+
+    return F.when(F.exists(lists, lambda own: F.size(own) == 0), F.lit(cap)).otherwise(F.aggregate(marked, start, step)["m"])
+
+
+def ngram_spans(index: Index, terms: DataFrame, n: int, cap: int = 500) -> DataFrame:
+    """(query_id, pos, doc_id, span) of query n-grams of n different words that a document holds all of."""
+    grams = ngrams(terms, n).where(F.size(F.array_distinct("gram")) == n)
+    wanted = small(grams.select("query_id", "pos", F.explode("gram").alias("term")))
+    found = index.postings.join(wanted, "term").groupBy("query_id", "pos", "doc_id").agg(F.collect_list("positions").alias("lists"))
+    return found.where(F.size("lists") == n).select("query_id", "pos", "doc_id", covering_span(F.col("lists"), cap).alias("span"))
+
+
 def spans(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, pos, doc_id, span) of query bigrams of two different words that a document holds both of."""
     pairs = small(bigrams(terms).where("a <> b"))
@@ -143,12 +188,21 @@ def proximity(index: Index, terms: DataFrame, alpha: float = 1.3, missing: int =
 MODELS = {"okapi_tf": okapi_tf, "tf_idf": tf_idf, "bm25": bm25, "lucene_bm25": lucene_bm25, "lm_laplace": lm_laplace, "lm_jelinek_mercer": lm_jelinek_mercer, "proximity": proximity}
 
 
+#: Models that score every document; they can be asked for what can be among the k best.
+WHOLE = {lm_laplace, lm_jelinek_mercer}
+
+
+def best(index: Index, terms: DataFrame, model, k: int, **options) -> DataFrame:
+    """The k best documents of each query by a model."""
+    return ranked(model(index, terms, **options, **({"k": k} if model in WHOLE else {})), k)
+
+
 def rank(index: Index, terms: DataFrame, model=bm25, k: int = 1000, feedback=None, **options) -> DataFrame:
     """The parametrised driver: a model (a name or any function of index and terms), optionally with query expansion."""
     score = MODELS[model] if isinstance(model, str) else model
     if feedback is not None:
         terms = feedback(index, terms, score)
-    return ranked(score(index, terms, **options), k)
+    return best(index, terms, score, k, **options)
 
 
 def run_lines(run: DataFrame, tag: str = "Exp") -> DataFrame:

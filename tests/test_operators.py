@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import edges, evaluation, feedback, frontier, index, learning, links, ranking
+from gristmill.operators.index import Index
 
 
 @pytest.fixture(scope="module")
@@ -182,8 +183,12 @@ def test_all_rank_models_fit(spark):
     models = learning.rank_models()
     assert len(models) == 10
     models["boosted"].setMaxIter(5)
-    out = learning.train_and_evaluate(table, labels.withColumnRenamed("label", "rel"), {k: models[k] for k in ("linear", "logistic", "elastic_net", "tree_20", "boosted")}, draws=1)
-    assert {n for n, *_ in out} == {"linear", "logistic", "elastic_net", "tree_20", "boosted"} and dict((n, a) for n, _, a, _ in out)["tree_20"] == 1.0
+    with pytest.raises(Exception, match="without label"):
+        learning.checked(table.limit(2).withColumn("label", F.lit(None).cast("int"))).collect()
+    maps = learning.train_and_evaluate(table, labels.withColumnRenamed("label", "rel"), {k: models[k] for k in ("linear", "logistic", "elastic_net", "tree_20", "boosted")}, draws=2)
+    out = [tuple(r) for r in maps.collect()]
+    assert len(out) == 10 and learning.mean_over_draws(maps).count() == 5
+    assert {n for n, *_ in out} == {"linear", "logistic", "elastic_net", "tree_20", "boosted"} and {a for n, _, a, _ in out if n == "tree_20"} == {1.0}
 
 
 def test_gates_use_all_rules(spark):
@@ -197,3 +202,81 @@ def test_gates_use_all_rules(spark):
     many = spark.range(1_000_001).select(F.concat(F.lit("x"), "id").alias("host"), F.lit("/").alias("prefix")).unionByName(own)
     for robots, options in ((own, {}), (many, {}), (own, {"most": 3}), (own, {"most": 0})):
         assert sorted(r.url for r in frontier.gates(pages, robots, crawled, **options).collect()) == want
+
+
+def test_graph_with_split_nodes(spark, monkeypatch):
+    """Nodes whose edges are dealt to several partitions have the same ranks and scores."""
+    edges = spark.createDataFrame([(0, k) for k in range(1, 30)] + [(k, 0) for k in range(1, 9)] + [(3, 4), (4, 5)], "src long, dst long")
+    side = lambda rows: sorted((r.id, round(r[1], 9)) for r in rows.collect())
+    want = side(links.pagerank(edges, 4)), *map(side, links.hits(edges, iterations=3))
+    monkeypatch.setattr(links, "PART_EDGES", 4)
+    assert (side(links.pagerank(edges, 4)), *map(side, links.hits(edges, iterations=3))) == want
+    base = spark.createDataFrame([(0,), (3,), (4,)], "id long")
+    auth, hub = links.hits(edges, base, iterations=2)
+    assert {r.id for r in auth.collect()} == {0, 3, 4} == {r.id for r in hub.collect()}
+
+
+def test_language_models_need_no_product(spark):
+    """The k best are those of the scores of all documents, also where fewer than k documents hold a query term."""
+    import random
+
+    r = random.Random(2)
+    docs = spark.createDataFrame([(d, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9)))) for d in range(60)], "doc_id long, text string")
+    topics = spark.createDataFrame([(1, "a b zz"), (2, "zz"), (3, "h h")], "query_id long, text string")
+    index, terms = Index.build(docs), ranking.topic_terms(topics)
+    for model in (ranking.lm_laplace, ranking.lm_jelinek_mercer):
+        rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
+        for k in (1, 7, 100):
+            assert rows(ranking.best(index, terms, model, k)) == rows(ranking.ranked(model(index, terms), k))
+
+
+def test_index_saved_loaded_merged_and_stemmed(spark, tmp_path):
+    from gristmill.operators import index as ix
+
+    rows = [(1, "running runs easily", "Heads"), (2, "he runs; she ran", None), (3, None, None), (4, "runner running", "The head")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, head string")
+    at = str(tmp_path / "index")
+    whole = Index.build(docs, positions=True)
+    first = whole.save(at)
+    part = [Index.build(docs.where(c), positions=True) for c in ("doc_id < 3", "doc_id >= 3")]
+    part[0].merged(part[1]).save(at)
+    got = Index.load(spark, at)
+    tables = lambda i: [sorted(map(str, d.collect())) for d in (i.tf.select("term", "doc_id", "tf"), i.terms.select("term", "ttf", "df"), i.lengths.select("doc_id", "dl"), i.postings.select("term", "doc_id", "tf", "positions"))]
+    assert tables(got) == tables(whole) == tables(Index.load(spark, at, first)) and (got.n_docs, got.vocabulary, round(got.avg_dl, 9)) == (whole.n_docs, whole.vocabulary, round(whole.avg_dl, 9))
+    assert ix.remove_superseded(spark, at) == [first] and tables(Index.load(spark, at)) == tables(whole)
+    assert ix.delete_index(spark, at) and not (tmp_path / "index").exists()
+    stemmed = Index.build(docs, stem=True, positions=True)
+    assert {r.term: r.ttf for r in stemmed.terms.collect()} == {"run": 4, "easili": 1, "he": 1, "she": 1, "ran": 1, "runner": 1}
+    assert [list(r.positions) for r in stemmed.postings.where("term = 'run' and doc_id = 1").collect()] == [[1, 2]]
+    with_head = Index.build(ix.field_text(docs, True))
+    assert {r.term for r in with_head.terms.collect()} >= {"heads", "the", "head"} and whole.vocabulary < with_head.vocabulary
+    assert Index.build(ix.field_text(docs, False)).vocabulary == whole.vocabulary
+
+
+def test_ngrams_and_covering_spans(spark):
+    import itertools
+    import random
+
+    r = random.Random(1)
+    docs = spark.createDataFrame([(d, " ".join(r.choice("abcde") for _ in range(25))) for d in range(30)], "doc_id long, text string")
+    terms = ranking.topic_terms(spark.createDataFrame([(1, "a b c a"), (2, "d"), (3, "a a b")], "query_id long, text string"))
+    assert [tuple(x.gram) for x in ranking.ngrams(terms, 3).orderBy("query_id", "pos").collect()] == [("a", "b", "c"), ("b", "c", "a"), ("a", "a", "b")]
+    got = {(x.pos, x.doc_id): x.span for x in ranking.ngram_spans(Index.build(docs, positions=True), terms, 3).collect()}
+    texts = {d.doc_id: d.text.split() for d in docs.collect()}
+    want = {}
+    for pos, gram in ((1, "abc"), (2, "bca")):
+        for d, w in texts.items():
+            places = [[k for k, x in enumerate(w) if x == g] for g in gram]
+            if all(places):
+                want[pos, d] = min(max(c) - min(c) for c in itertools.product(*places))
+    assert got == want
+
+
+def test_report_has_all_parts(spark):
+    run = spark.createDataFrame([(1, d, 10.0 - d) for d in range(6)] + [(2, d, 5.0 - d) for d in range(3)], "query_id long, doc_id long, score double")
+    qrels = spark.createDataFrame([(1, 0, 1), (1, 3, 1), (1, 99, 1), (2, 1, 1)], "query_id long, doc_id long, rel int")
+    rows = evaluation.report_lines(evaluation.judged(run, qrels)).orderBy("query_id", "n").collect()
+    text = {q: [x.line for x in rows if x.query_id == q] for q in ("1", "2", None)}
+    assert len({len(v) for v in text.values()}) == 1 and len(text["1"]) == 5 + 11 + 2 + 9 + 2
+    assert text["1"][:4] == ["Queryid: 1", "Retrieved: 6", "Relevant: 3", "Rel_ret: 2"] and "at 5 docs: 0.4000 0.6667 0.5000" in text["1"] and "Average precision: 0.5000" in text["1"]
+    assert text["2"][16] == "Average precision: 0.5000" and text[None][:4] == ["Queryid: all", "Retrieved: 9", "Relevant: 4", "Rel_ret: 3"] and "at 0.00 0.7500" in text[None]
