@@ -48,6 +48,18 @@ def clean_words(text: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
     return drop_stop_words(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")), stop)
 
 
+def mail_tokens(text: Column) -> Column:
+    """Words as a word tokenizer gives them: white space and punctuation part them, a contraction's ending is a word of its own."""
+    spaced = F.regexp_replace(F.regexp_replace(text, r"(?i)('s|'m|'d|'ll|'re|'ve|n't)\b", " $1"), r"([!-&(-,/:-@\[-`{-~]|\.(?=\s|$))", " $1 ")
+    return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+
+
+def mail_words(text: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
+    """Mail cleaning over ``mail_tokens``: lower-cased, ASCII punctuation dropped, purely alphabetic words that are no stop words."""
+    words = F.transform(mail_tokens(text), lambda w: F.regexp_replace(F.lower(w), r"[!-/:-@\[-`{-~]", ""))
+    return drop_stop_words(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")), stop)
+
+
 def jaccard(a: Column, b: Column, exact: bool = False) -> Column:
     """|a and b| over |a| + |b| plus (as the reference has it) or minus (exact) the intersection; 0 where that is 0."""
     a, b = F.array_distinct(a), F.array_distinct(b)
@@ -56,12 +68,6 @@ def jaccard(a: Column, b: Column, exact: bool = False) -> Column:
     return F.when(under > 0, both / under).otherwise(F.lit(0.0))
 
 
-def l2_normalized(x: Column, window) -> Column:
-    """x over the window's Euclidean norm; a zero vector stays as it is."""
-    norm = F.sqrt(F.sum(x * x).over(window))
-    return F.when(norm == 0, x.cast("double")).otherwise(x / norm)
-
-
 def safe_int(x: Column, default: int) -> Column:
     return F.coalesce(x.try_cast("int"), F.lit(default))
 

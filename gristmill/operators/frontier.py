@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import jaccard, l2_normalized
+from ..functions.text import jaccard
 from .ranking import small
 
 RATE_SLACK_US = 100
@@ -37,9 +37,15 @@ def filtered_outlinks(links: DataFrame, domains: Iterable[str], keywords: Iterab
 
 
 def keep_first(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """Adds kept: whether the row is the first of its key in the given order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("kept", F.row_number().over(w) == 1)
+    """Adds kept: whether the row is the first of its key in the given order (of rows equal in it, each is).
+
+    The first of a key is a partial aggregate, joined back as a row of its own, so a hot key is in no task as a whole.
+    """
+    first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_f")).select(F.col(key).alias("_key"), *[F.col(f"_f.{c}").alias(f"_{c}") for c in order])
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(first, same, "left").withColumn("kept", F.col(f"_{order[0]}").isNotNull()).drop("_key", *[f"_{c}" for c in order])
 
 
 def not_crawled(rows: DataFrame, crawled: DataFrame, key: str = "url") -> DataFrame:

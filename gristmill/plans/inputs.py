@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import links, ranking
 from ..operators.index import Index
+from ..operators.shared import written
 
 # Parameters of the frontier queries.
 KEYWORDS = "the and of to in is that for are with was this from by at on or be it as an a".split()
@@ -28,7 +29,10 @@ def index(spark: SparkSession, sf_dir: str, distinct_dl: bool = False, positions
     """The index of documents, built once per session and folder, as a search system keeps its index."""
     key = (spark.sparkContext.applicationId, sf_dir, distinct_dl, positions)
     if key not in _kept:
-        docs = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism) if spark.sparkContext.master.startswith("local") else table(spark, sf_dir, "documents")
+        docs = table(spark, sf_dir, "documents")
+        cores = spark.sparkContext.defaultParallelism
+        # Fewer files than cores: the long texts are dealt out before they are analysed.
+        docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
         _kept[key] = Index.build(docs, distinct_dl=distinct_dl, positions=positions)
     return _kept[key]
 
@@ -73,4 +77,11 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domain_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(domain, rank): hosts of pages by number of pages, then name; hosts of a single page have no rank."""
     hosts = table(spark, sf_dir, "pages").select(links.host(F.col("url")).alias("domain")).groupBy("domain").agg(F.count("*").alias("n"))
-    return hosts.where("n > 1").select("domain", F.row_number().over(Window.orderBy(F.desc("n"), "domain")).alias("rank"))
+    # Numbered within range partitions; their sizes, one number each, come to the driver.
+    order = [F.desc("n"), F.asc("domain")]
+    parts = written(hosts.where("n > 1").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = {r[0]: r[1] for r in parts.groupBy("_p").count().collect()}
+    before = F.lit(0)
+    for p in sorted(sizes):
+        before = F.when(F.col("_p") == p, F.lit(sum(n for q, n in sizes.items() if q < p))).otherwise(before)
+    return parts.select("domain", (before + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).alias("rank"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 
-from ..functions.text import STOP_WORDS, TOKEN
-from ..operators.evaluation import CUTOFFS, LEVELS
-from ..operators.learning import FEATURES
-from ..operators.links import ANCHOR
 from . import inputs as i
 
+# Written here from the definitions, apart from the library's own.
+TOKEN = r"((?:\p{Nd}|\.)+|(?:\p{L}|\p{N}|_)+)"
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split(" ")
+CUTOFFS = [5, 10, 15, 20, 30, 100, 200, 500, 1000]
+LEVELS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+FEATURES = ["okapi_bm25", "okapi_tf", "okapi_tf_idf", "unigram_lm_jm", "unigram_lm_laplace"]
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 STOPS = ",".join(f"'{w}'" for w in STOP_WORDS)
 WORDS = ",".join(f"'{w}'" for w in i.KEYWORDS)
 ANCHOR_SQL = ANCHOR.replace("'", "''")
@@ -48,6 +51,24 @@ LUCENE = "ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
 NONE = "ln(1.3::double + exp(-287::double))"
 
 
+def expansions(scores: str) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank FROM
+        (SELECT query_id, term, sum(tf) AS ttf, sum(df) AS df, round(sum(tf) * ln((SELECT n FROM st) / sum(df)), 6) AS weight
+         FROM tf JOIN ({top(scores, 10)}) USING (doc_id) JOIN (SELECT term, df FROM terms) USING (term) GROUP BY query_id, term)) WHERE rank <= 10"""
+
+
+def scores(name: str, q: str = "q", qw: str = "qw", m: str = "m") -> str:
+    """A model's scores over queries (tokens, distinct terms, matches)."""
+    parts = {"bm25": BM25, "okapi_tf": TFPART, "tfidf": f"{TFPART} * ln(n / df)"}
+    return summed(parts[name], m) if name in parts else laplace(q, m) if name == "lm_laplace" else mercer(0.9, q, qw, m)
+
+
+def expanded(name: str, more: str) -> str:
+    """A model over the queries' tokens and the terms that ``more`` adds to them."""
+    return f"""WITH qy AS (SELECT query_id, term FROM q UNION ALL SELECT query_id, term FROM ({more})), qx AS (SELECT query_id, term, count(*)::double AS qtf FROM qy GROUP BY ALL),
+        mx AS (SELECT query_id, term, qtf, doc_id, tf, dl, ttf, df FROM tf JOIN qx USING (term) JOIN terms USING (term) JOIN dl USING (doc_id)) """ + RANKED.format(top(scores(name, "qy", "qx", "mx")))
+
+
 def tokens_of(table: str, key: str) -> str:
     return f"SELECT {key} AS k, unnest(l) AS term, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT {key}, list_transform(regexp_extract_all(text, '{TOKEN}', 1), lambda x: lower(x)) AS l FROM {table})"
 
@@ -56,15 +77,16 @@ def summed(expr: str, source: str = "m") -> str:
     return f"SELECT query_id, doc_id, round(sum(qtf * ({expr})), 6) AS score FROM {source}, st GROUP BY query_id, doc_id"
 
 
-def laplace() -> str:
-    return "SELECT query_id, doc_id, round(coalesce(gain, 0) - q * ln(dl + v), 6) AS score FROM dl CROSS JOIN (SELECT query_id, count(*)::double AS q FROM q GROUP BY query_id) CROSS JOIN st LEFT JOIN (SELECT query_id, doc_id, sum(qtf * ln(tf + 1)) AS gain FROM m GROUP BY ALL) USING (query_id, doc_id)"
+def laplace(q: str = "q", m: str = "m") -> str:
+    """By the definition: for every document and query the sum over query tokens of ln((tf + 1) / (dl + V))."""
+    return f"SELECT query_id, doc_id, round(coalesce(gain, 0) - q * ln(dl + v), 6) AS score FROM dl CROSS JOIN (SELECT query_id, count(*)::double AS q FROM {q} GROUP BY query_id) CROSS JOIN st LEFT JOIN (SELECT query_id, doc_id, sum(qtf * ln(tf + 1)) AS gain FROM {m} GROUP BY ALL) USING (query_id, doc_id)"
 
 
-def mercer(lam: float) -> str:
+def mercer(lam: float, q: str = "q", qw: str = "qw", m: str = "m") -> str:
     base = f"ln({1 - lam!r}::double * ttf / v)"
-    return f"""SELECT query_id, doc_id, round(coalesce(base, 0) + coalesce(gain, 0), 6) AS score FROM dl CROSS JOIN (SELECT DISTINCT query_id FROM q)
-        LEFT JOIN (SELECT query_id, sum(qtf * {base}) AS base FROM qw JOIN terms USING (term), st GROUP BY query_id) USING (query_id)
-        LEFT JOIN (SELECT query_id, doc_id, sum(qtf * (ln({lam!r}::double * tf / dl + {1 - lam!r}::double * ttf / v) - {base})) AS gain FROM m, st GROUP BY ALL) USING (query_id, doc_id)"""
+    return f"""SELECT query_id, doc_id, round(coalesce(base, 0) + coalesce(gain, 0), 6) AS score FROM dl CROSS JOIN (SELECT DISTINCT query_id FROM {q})
+        LEFT JOIN (SELECT query_id, sum(qtf * {base}) AS base FROM {qw} JOIN terms USING (term), st GROUP BY query_id) USING (query_id)
+        LEFT JOIN (SELECT query_id, doc_id, sum(qtf * (ln({lam!r}::double * tf / dl + {1 - lam!r}::double * ttf / v) - {base})) AS gain FROM {m}, st GROUP BY ALL) USING (query_id, doc_id)"""
 
 
 def top(scores: str, k: int = 1000) -> str:
@@ -113,9 +135,7 @@ CTE = {
     "bg": "SELECT * FROM (SELECT query_id, pos, term AS a, lead(term) OVER (PARTITION BY query_id ORDER BY pos) AS b FROM q) WHERE b IS NOT NULL",
     "spans": """SELECT query_id, pos, doc_id, CASE WHEN p1[1] >= p2[1] THEN 500 ELSE least(500, list_min(list_transform(p1, lambda x: list_min(list_transform(p2, lambda y: abs(x - y)))))) END AS span
         FROM (SELECT query_id, pos, x.doc_id, x.positions AS p1, y.positions AS p2 FROM bg JOIN tf x ON x.term = a JOIN tf y ON y.term = b AND y.doc_id = x.doc_id WHERE a <> b)""",
-    "exp": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank FROM
-        (SELECT query_id, term, sum(tf) AS ttf, sum(df) AS df, round(sum(tf) * ln((SELECT n FROM st) / sum(df)), 6) AS weight
-         FROM tf JOIN ({top(summed(BM25), 10)}) USING (doc_id) JOIN (SELECT term, df FROM terms) USING (term) GROUP BY query_id, term)) WHERE rank <= 10""",
+    "exp": expansions(summed(BM25)),
     "sig": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, term) AS rank FROM
         (SELECT token, term, round(CASE WHEN ln(n) - ln(least(fx, fy)) > 0 THEN exp(-(ln(greatest(fx, fy)) - ln(fxy)) / (ln(n) - ln(least(fx, fy)))) ELSE 0 END, 6) AS score FROM
             (SELECT token, b.term, count(*)::double AS fxy FROM (SELECT doc_id, term AS token FROM tf WHERE term IN (SELECT term FROM q)) a JOIN tf b USING (doc_id) WHERE b.term <> token GROUP BY ALL)
@@ -192,7 +212,7 @@ SQL = {
     "distinct_doc_lengths": "SELECT doc_id, dl::bigint AS dl FROM ddl",
     "corpus_stats": "SELECT n::bigint AS n_docs, v::bigint AS vocabulary, round(avgdl, 6) AS avg_dl FROM st",
     "term_vector_json": "SELECT term, ttf::bigint AS ttf, doc_id, tf::bigint AS tf, tf::bigint AS n_pos FROM tf JOIN terms USING (term)",
-    "index_round_trip": "SELECT term, doc_id, tf::bigint AS tf FROM tf WHERE term IN ('the', 'and', 'of', 'de', 'und', 'que')",
+    "index_round_trip": "SELECT term, doc_id, tf::bigint AS tf FROM tf WHERE term IN (SELECT term FROM q)",
     "okapi_tf_topk": RANKED.format(top(summed(TFPART))),
     "tfidf_topk": RANKED.format(top(summed(f"{TFPART} * ln(n / df)"))),
     "bm25_topk": RANKED.format(top(summed(BM25))),
@@ -206,10 +226,18 @@ SQL = {
     "proximity_topk": RANKED.format(top(f"""SELECT query_id, doc_id, round(s + c * {NONE} + coalesce(gain, 0), 6) AS score FROM (SELECT query_id, doc_id, sum(qtf * {TFPART} * ln(n / df)) AS s FROM m, st GROUP BY ALL)
         JOIN (SELECT query_id, count(*) - 1 AS c FROM q GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, doc_id, sum(ln(1.3::double + exp(-span::double)) - {NONE}) AS gain FROM spans GROUP BY ALL) USING (query_id, doc_id)""")),
     "prf_expansion": "SELECT query_id, term, ttf::bigint AS ttf, df::bigint AS df, weight, rank FROM exp",
-    "prf_bm25_topk": "WITH qx AS (SELECT query_id, term, count(*)::double AS qtf FROM (SELECT query_id, term FROM q UNION ALL SELECT query_id, term FROM exp) GROUP BY ALL), mx AS (SELECT query_id, term, qtf, doc_id, tf, dl, ttf, df FROM tf JOIN qx USING (term) JOIN terms USING (term) JOIN dl USING (doc_id)) " + RANKED.format(top(summed(BM25, "mx"))),
     "gnd_significant_terms": "SELECT token, term, score, rank FROM sig",
     "gnd_expansion": "SELECT query_id, pos, token, term, rank FROM sigx",
-    "gnd_bm25_topk": "WITH qx AS (SELECT query_id, term, count(*)::double AS qtf FROM (SELECT query_id, term FROM q UNION ALL SELECT query_id, term FROM sigx) GROUP BY ALL), mx AS (SELECT query_id, term, qtf, doc_id, tf, dl, ttf, df FROM tf JOIN qx USING (term) JOIN terms USING (term) JOIN dl USING (doc_id)) " + RANKED.format(top(summed(BM25, "mx"))),
+    **{f"prf_{m}_topk": expanded(m, expansions(scores(m))) for m in ("bm25", "okapi_tf", "tfidf", "lm_laplace", "lm_jm")},
+    **{f"gnd_{m}_topk": expanded(m, "SELECT query_id, term FROM sigx") for m in ("bm25", "okapi_tf", "tfidf", "lm_laplace", "lm_jm")},
+    "ngram_spans": """WITH tri AS (SELECT * FROM (SELECT query_id, pos, term AS a, lead(term) OVER w AS b, lead(term, 2) OVER w AS c FROM q WINDOW w AS (PARTITION BY query_id ORDER BY pos)) WHERE c IS NOT NULL AND a <> b AND b <> c AND a <> c),
+        occ AS (SELECT query_id, t.pos, doc_id, o.pos AS p, CASE WHEN o.term = a THEN 1 WHEN o.term = b THEN 2 ELSE 3 END AS k FROM tri t JOIN tok o ON o.term IN (a, b, c)),
+        seen AS (SELECT query_id, pos, doc_id, p, max(CASE WHEN k = 1 THEN p END) OVER w AS x, max(CASE WHEN k = 2 THEN p END) OVER w AS y, max(CASE WHEN k = 3 THEN p END) OVER w AS z FROM occ WINDOW w AS (PARTITION BY query_id, pos, doc_id ORDER BY p ROWS UNBOUNDED PRECEDING))
+        SELECT query_id, pos, doc_id, least(500, min(p - least(x, y, z)))::bigint AS span FROM seen WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY query_id, pos, doc_id""",
+    "index_reload_bm25": RANKED.format(top(summed(BM25))),
+    "eval_report": f"""WITH t AS (SELECT query_id, count(*) AS r, max(num_rel)::bigint AS n, sum(CASE WHEN ix <= 1000 THEN rel END)::bigint AS h, {AP} AS ap, {RPREC} AS rp FROM j GROUP BY query_id)
+        SELECT query_id, unnest([printf('Queryid: %d', query_id), printf('Retrieved: %d', r), printf('Relevant: %d', n), printf('Rel_ret: %d', h), printf('Average precision: %.4f', ap + 1e-9), printf('R-Precision: %.4f', rp + 1e-9)]) AS line FROM t""",
+    "batch_slices": "SELECT b AS batch, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // ((SELECT count(*) FROM documents) + 6) // 7) AS b FROM documents) GROUP BY b".replace("// ((SELECT", "// (((SELECT"),
     "run_file_lines": "SELECT concat_ws(' ', query_id::varchar, 'Q0', doc_id::varchar, rank::varchar, printf('%.6f', score), 'Exp') AS line FROM run",
     "eval_ap": f"SELECT query_id, count(*) AS num_ret, max(num_rel)::bigint AS num_rel, sum(CASE WHEN ix <= 1000 THEN rel END)::bigint AS num_rel_ret, {AP} AS ap FROM j GROUP BY query_id",
     "eval_cutoffs": f"SELECT query_id, k, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT query_id, k, {PREC_AT} AS p, {REC_AT} AS r FROM (SELECT * FROM {AT_N}, (SELECT unnest([{','.join(map(str, CUTOFFS))}])::bigint AS k)) LEFT JOIN (SELECT query_id, ix AS k, prec, hits FROM j WHERE ix <= 1000) USING (query_id, k))",

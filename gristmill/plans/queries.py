@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,8 @@ from ..operators import frontier as fr
 from ..operators import learning as lr
 from ..operators import links as lk
 from ..operators import ranking as rk
-from ..operators.index import doc_lengths
+from ..operators.index import Index, doc_lengths
+from ..operators.shared import shared_folder
 from ..sources import codecs
 from ..streaming import crawl
 from . import inputs as i
@@ -89,14 +89,33 @@ def term_vector_json(s: S, d: str) -> DataFrame:
 
 
 def index_round_trip(s: S, d: str) -> DataFrame:
-    """The index written sorted by term and the topics' terms read back with a pushed filter."""
+    """The index written sorted by term and the topics' terms read back, a block of terms a filter that is pushed to the scan."""
     from ..operators.index import read_terms, write_index
 
-    base = s.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    path = f"{base}/index-{uuid.uuid4().hex}"
+    path = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
     write_index(i.index(s, d, positions=True).postings, path)
-    words = ["the", "and", "of", "de", "und", "que"]
-    return read_terms(s, path, words).select("term", "doc_id", "tf")
+    words = sorted(r[0] for r in i.topics(s, d).select("term").distinct().collect())
+    blocks = [read_terms(s, path, words[k : k + 500]) for k in range(0, len(words), 500)]
+    return reduce(DataFrame.unionByName, blocks).select("term", "doc_id", "tf")
+
+
+def index_reload_bm25(s: S, d: str) -> DataFrame:
+    """The index saved with its catalogue, loaded again, and ranked from."""
+    path = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    i.index(s, d).save(path)
+    return rk.rank(Index.load(s, path), i.topics(s, d), "bm25")
+
+
+def bm25_stemmed_topk(s: S, d: str) -> DataFrame:
+    """Stop words dropped, then stems, of documents and topics."""
+    items = i.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    x = codecs.index_by_name(i.table(s, d, "documents"), stop="stop", stemmer="porter2")
+    return rk.rank(x, codecs.topics_by_name(items, stop="stop", stemmer="porter2"), "bm25")
+
+
+def ngram_spans(s: S, d: str) -> DataFrame:
+    """Spans of query trigrams."""
+    return rk.ngram_spans(i.index(s, d, positions=True), i.topics(s, d), 3)
 
 
 def stem_vocabulary(s: S, d: str) -> DataFrame:
@@ -126,8 +145,9 @@ def prf_expansion(s: S, d: str) -> DataFrame:
     return fb.expansion_terms(i.index(s, d), i.topics(s, d))
 
 
-def prf_bm25_topk(s: S, d: str) -> DataFrame:
-    return rk.rank(i.index(s, d), i.topics(s, d), "bm25", feedback=fb.custom_feedback)
+def expanded(name: str, feedback, s: S, d: str) -> DataFrame:
+    """A model over queries with more terms."""
+    return rk.rank(i.index(s, d), i.topics(s, d), name, feedback=feedback)
 
 
 def gnd_significant_terms(s: S, d: str) -> DataFrame:
@@ -138,10 +158,6 @@ def gnd_expansion(s: S, d: str) -> DataFrame:
     return fb.significant_expansion(i.index(s, d), i.topics(s, d))
 
 
-def gnd_bm25_topk(s: S, d: str) -> DataFrame:
-    return rk.rank(i.index(s, d), i.topics(s, d), "bm25", feedback=fb.significant_feedback)
-
-
 def run_file_lines(s: S, d: str) -> DataFrame:
     return rk.run_lines(i.run(s, d))
 
@@ -184,6 +200,12 @@ def eval_perl_mode(s: S, d: str) -> DataFrame:
     return ev.average_precision(rows).join(ev.r_precision(rows), "query_id")
 
 
+def eval_report(s: S, d: str) -> DataFrame:
+    """The report's lines, without those of the averages."""
+    rows = ev.report_lines(judged(s, d)).where("query_id IS NOT NULL")
+    return rows.where(F.col("line").rlike("^(Queryid|Retrieved|Relevant|Rel_ret|Average precision|R-Precision)")).select(F.col("query_id").cast("bigint").alias("query_id"), "line")
+
+
 def eval_pr_curve(s: S, d: str) -> DataFrame:
     return ev.precision_recall_points(judged(s, d))
 
@@ -407,14 +429,18 @@ def rate_limit_lag(s: S, d: str) -> DataFrame:
     return fr.rate_limited(_hits_of(s, d), "key", "ts", "id", i.DELAY_SECONDS).select("key", "id", "limited")
 
 
+#: Rows of a file of a stream.
+STREAM_ROWS = 2_000_000
+
+
 def _as_stream(s: S, df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """The rows as a stream of files in the given order, written one after the other and read one a batch."""
-    base = s.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    path = f"{base}/stream-{uuid.uuid4().hex}"
-    bounds = df.approxQuantile(order, [k / files for k in range(1, files)], 0.01)
+    """The rows as a stream of files in the given order, written one after the other and read one a batch; as many files as the rows need."""
+    path = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    files = max(files, -(-df.count() // STREAM_ROWS))
+    bounds = df.approxQuantile(order, [k / files for k in range(1, files)], 0.1 / files)
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = df if low is None else df.where(F.col(order) >= low)
-        (part if high is None else part.where(F.col(order) < high)).coalesce(1).write.mode("append").parquet(path)
+        (part if high is None else part.where(F.col(order) < high)).repartition(1).write.mode("append").parquet(path)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -467,12 +493,9 @@ def ltr_negative_fill(s: S, d: str) -> DataFrame:
 
 
 def ltr_models_map(s: S, d: str) -> DataFrame:
-    """Linear, elastic-net and tree models; the boosted one, of 400 rounds, has its own test."""
-    table = lr.training_table(lr.pivoted(_runs(s, d)), lr.labels(i.qrels(s, d))).persist()
-    models = {k: v for k, v in lr.rank_models().items() if k in ("linear", "logistic", "elastic_net", "tree_2", "tree_5")}
-    rows = lr.train_and_evaluate(table, i.qrels(s, d), models, draws=1)
-    table.unpersist()
-    return s.createDataFrame(rows, "model string, draw int, map_train double, map_test double")
+    """The ten models over five draws."""
+    table = lr.training_table(lr.pivoted(_runs(s, d)), lr.labels(i.qrels(s, d)))
+    return lr.train_and_evaluate(table, i.qrels(s, d), lr.rank_models())
 
 
 def df_range_filter(s: S, d: str) -> DataFrame:
@@ -520,23 +543,45 @@ def spam_models(s: S, d: str) -> DataFrame:
     return s.createDataFrame(out, "model string, auc double")
 
 
+def mail_cleaner(s: S, d: str) -> DataFrame:
+    """The mail cleaner's words."""
+    w = tx.mail_words(F.col("text"))
+    return i.table(s, d, "documents").select("doc_id", F.size(w).alias("n_words"), F.md5(F.array_join(w, " ")).alias("words_md5"))
+
+
+def batch_slices(s: S, d: str) -> DataFrame:
+    """Documents in seven sub-lists by id."""
+    from ..sources.corpus import batch_number
+
+    return batch_number(i.table(s, d, "documents").select("doc_id"), "doc_id", 7).groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+def text_root_set(s: S, d: str) -> DataFrame:
+    """URLs of the pages whose plain text ranks among the ten best of a topic."""
+    pages = i.table(s, d, "pages")
+    docs = pages.select(F.col("page_id").alias("doc_id"), lk.plain_text(F.col("html")).alias("text"))
+    return lk.text_root_set(rk.rank(Index.build(docs), i.topics(s, d), "bm25", k=10), pages, 10)
+
+
 def _registered() -> dict[str, Callable[[S, str], DataFrame]]:
     plain = [
-        tokenize_stats, space_length, average_space_length, stopword_filter, standard_analyzer, postings, term_stats, index_doc_lengths, distinct_doc_lengths, corpus_stats, vocab_approx, term_vector_json, index_round_trip, stem_vocabulary,
-        lm_jm_08_topk, query_bigrams, min_span, prf_expansion, prf_bm25_topk, gnd_significant_terms, gnd_expansion, gnd_bm25_topk, run_file_lines,
-        eval_ap, eval_cutoffs, eval_rprec, eval_interp11, eval_ndcg_ref, eval_ndcg_std, eval_summary, eval_perl_mode, eval_pr_curve,
+        tokenize_stats, space_length, average_space_length, stopword_filter, standard_analyzer, postings, term_stats, index_doc_lengths, distinct_doc_lengths, corpus_stats, vocab_approx, term_vector_json, index_round_trip, index_reload_bm25, bm25_stemmed_topk, stem_vocabulary,
+        lm_jm_08_topk, query_bigrams, min_span, ngram_spans, prf_expansion, gnd_significant_terms, gnd_expansion, run_file_lines,
+        eval_ap, eval_cutoffs, eval_rprec, eval_interp11, eval_ndcg_ref, eval_ndcg_std, eval_summary, eval_perl_mode, eval_report, eval_pr_curve,
         page_titles, page_text, page_meta, page_outlinks, url_parts, md5_keys, url_edges, link_edges, adjacency_lists, adjacency_parse, adjacency_inlinks,
         edge_table, edges_is_crawled, inlink_ranking, duplicate_edges, distinct_edge_count, uncrawled_antijoin, allocated_ids, xml_batch_parse, link_info,
-        degrees, sink_nodes, top500_links, pagerank_converged, hits_converged, hits_base_set,
+        degrees, sink_nodes, top500_links, pagerank_converged, hits_converged, hits_base_set, text_root_set,
         domain_blacklist, keyword_blacklist, outlink_filter, keep_first_dedup, jaccard_anchor, jaccard_url, url_relevance, domain_inlinks, l2_normalize, frontier_scores, frontier_cascade, queue_assignment, queue_sticky, crawl_gates,
         rate_limit_lag, stream_rate_limit, stream_counts, stream_dedup, json_props, time_functions,
-        ltr_pivot, ltr_labels, ltr_negative_fill, ltr_models_map, df_range_filter, text_clean, vocabulary_filter, auc_ranksum, top10_by_prob, spam_models,
+        ltr_pivot, ltr_labels, ltr_negative_fill, ltr_models_map, df_range_filter, text_clean, mail_cleaner, batch_slices, vocabulary_filter, auc_ranksum, top10_by_prob, spam_models,
     ]
     out = {f.__name__: f for f in plain}
     for name, m, options in (
         ("okapi_tf_topk", "okapi_tf", {}), ("tfidf_topk", "tf_idf", {}), ("bm25_topk", "bm25", {}), ("bm25_distinct_dl_topk", "bm25", {"distinct_dl": True}), ("lm_laplace_topk", "lm_laplace", {}), ("lm_jm_topk", "lm_jelinek_mercer", {}), ("lucene_bm25_topk", "lucene_bm25", {}), ("proximity_topk", "proximity", {"positions": True}),
     ):
         out[name] = partial(model, m, **options)
+    for m, name in (("bm25", "bm25"), ("okapi_tf", "okapi_tf"), ("tf_idf", "tfidf"), ("lm_laplace", "lm_laplace"), ("lm_jelinek_mercer", "lm_jm")):
+        out[f"prf_{name}_topk"], out[f"gnd_{name}_topk"] = partial(expanded, m, fb.custom_feedback), partial(expanded, m, fb.significant_feedback)
     out["pagerank_5it"], out["pagerank_sinks_5it"] = partial(_pagerank, i.part_edges), partial(_pagerank, i.path_edges)
     out["hits_5it"], out["hits_sinks_5it"], out["hits_clean_5it"] = partial(_hits, i.part_edges, 1.0), partial(_hits, i.path_edges, 1.0), partial(_hits, i.part_edges, 0.0)
     return {k: (lambda f: lambda s, d: wide(f(s=s, d=d)))(f) for k, f in out.items()}

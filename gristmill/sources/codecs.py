@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stemmed
 from ..functions.text import STOP_WORDS, drop_stop_words, standard_tokens, tokens
+from ..operators.index import Index, field_text, stemmed_frequencies
+from ..operators.ranking import topic_terms
 
 VECTOR = "term string, ttf bigint, tf map<string, struct<tf:int, pos:array<int>>>"
 
@@ -44,7 +47,7 @@ def from_delimited(lines: DataFrame) -> DataFrame:
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"regex": tokens, "standard": standard_tokens}
 FILTERS: dict[str, Callable[[Column], Column]] = {"none": lambda w: w, "stop": lambda w: drop_stop_words(w, STOP_WORDS)}
-STEMMERS = ("none", "porter2")
+STEMMERS: dict[str, Callable[[DataFrame], DataFrame]] = {"none": lambda tf: tf, "porter2": stemmed_frequencies}
 COMPRESSIONS = {"none": "none", "gzip": "gzip", "zstd": "zstd"}
 SERIALIZERS = {"json": (to_json, from_json), "delimited": (to_delimited, from_delimited)}
 
@@ -59,3 +62,19 @@ def component(kind: dict, name: str):
 def analyzer(tokenizer: str = "regex", stop: str = "none") -> Callable[[Column], Column]:
     split, keep = component(TOKENIZERS, tokenizer), component(FILTERS, stop)
     return lambda text: keep(split(text))
+
+
+def index_by_name(docs: DataFrame, tokenizer: str = "regex", stop: str = "none", stemmer: str = "none", head: bool = False, **options) -> Index:
+    """An index of (doc_id, text, head if asked for) by the names of its components."""
+    component(STEMMERS, stemmer)
+    return Index.build(field_text(docs, head), analyzer(tokenizer, stop)(F.col("text")), stem=stemmer != "none", **options)
+
+
+def topics_by_name(topics: DataFrame, tokenizer: str = "regex", stop: str = "none", stemmer: str = "none") -> DataFrame:
+    """(query_id, pos, term) of topics (query_id, text) by the same names, stemmed like the documents."""
+    terms = topic_terms(topics, analyzer(tokenizer, stop)(F.col("text")))
+    return stemmed(terms) if component(STEMMERS, stemmer) is stemmed_frequencies else terms
+
+
+#: The four variants of an index: with and without stems, with and without head lines.
+VARIANTS = tuple({"stemmer": s, "head": h} for s in STEMMERS for h in (False, True))

@@ -6,6 +6,8 @@ import email
 import email.policy
 import html as html_lib
 import re
+import uuid
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import space_count
+from ..operators.index import Index
+from ..operators.learning import FEATURES
+from ..operators.shared import written
 
 
 def read_trec(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:
@@ -166,8 +171,100 @@ def read_mail(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), parse("content").alias("m")).select("file_name", "m.*")
 
 
+def labelled_mail(mail: DataFrame, spam_labels: DataFrame) -> DataFrame:
+    """(file_name, subject, body, label): mail that has a label, by file name."""
+    return mail.join(spam_labels, "file_name")
+
+
+def write_crawled(pages: DataFrame, path: str, batch: str) -> None:
+    """Crawled pages as JSON lines below a folder of the batch, which a repeated write replaces; columns as in ``PAGE`` where there are any."""
+    known = [F.col(f.name).cast(f.dataType).alias(f.name) for f in PAGE.fields if f.name in pages.columns]
+    pages.select(*known).write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def index_crawled(pages: DataFrame, path: str, known: str | None = None) -> Index:
+    """Indexes crawled pages (url, cleaned_text) by URL and saves the index at ``path``; with ``known`` the index there is extended by them."""
+    new = Index.build(pages.select(F.col("url").alias("doc_id"), F.col("cleaned_text").alias("text")))
+    both = Index.load(pages.sparkSession, known).merged(new) if known else new
+    both.save(path)
+    return Index.load(pages.sparkSession, path)
+
+
+ROBOTS_RULE = r"(?im)^[ \t]*(user-agent|disallow|allow|crawl-delay)[ \t]*:[ \t]*([^#\r\n]*)"
+
+
+def parse_robots(files: DataFrame, agent: str = "*", default_delay: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(rules (host, prefix), delays (host, delay)) of robots files (host, body): what is disallowed for the agent, and its crawl delay.
+
+    Rules of groups that name the agent, or * if none does. An empty Disallow forbids nothing; a delay that is no number, or none, counts as
+    ``default_delay``. Allow lines that repeat a forbidden prefix lift it; no file is cached, as the table is read by each query.
+    """
+    pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(ROBOTS_RULE), F.lit(1)).alias("field"), F.regexp_extract_all("body", F.lit(ROBOTS_RULE), F.lit(2)).alias("value"))
+    lines = F.transform(pairs, lambda p: F.struct(F.lower(p["field"]).alias("field"), F.trim(p["value"]).alias("value")))
+    # A group starts where an agent line follows another kind of line; the lines below it hold for all agents of the group.
+    start = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(True).alias("open"), F.array().cast("array<struct<agent:string,field:string,value:string>>").alias("rows"))
+
+    def step(acc, x):
+        is_agent = x["field"] == "user-agent"
+        agents = F.when(is_agent & acc["open"], F.concat(acc["agents"], F.array(F.lower(x["value"])))).when(is_agent, F.array(F.lower(x["value"]))).otherwise(acc["agents"])
+        rows = F.when(is_agent, acc["rows"]).otherwise(F.concat(acc["rows"], F.transform(acc["agents"], lambda a: F.struct(a.alias("agent"), x["field"].alias("field"), x["value"].alias("value")))))
+        return F.struct(agents.alias("agents"), is_agent.alias("open"), rows.alias("rows"))
+
+    every = files.select("host", F.aggregate(lines, start, step)["rows"].alias("rows"))
+    own = F.filter("rows", lambda r: r["agent"] == agent.lower())
+    held = every.select("host", F.when(F.size(own) > 0, own).otherwise(F.filter("rows", lambda r: r["agent"] == "*")).alias("rows"))
+    values = lambda field: F.transform(F.filter("rows", lambda r: r["field"] == field), lambda r: r["value"])
+    rules = held.select("host", F.explode(F.array_except(F.array_distinct(values("disallow")), values("allow"))).alias("prefix")).where("prefix <> ''")
+    delay = F.coalesce(F.get(values("crawl-delay"), F.lit(0)).try_cast("double"), F.lit(default_delay))
+    return rules, held.select("host", delay.alias("delay"))
+
+
+def batch_number(rows: DataFrame, order: str, batches: int | None = None, size: int | None = None) -> DataFrame:
+    """Adds batch (from 0): ``batches`` sub-lists of equal size (the last may be shorter), or sub-lists of ``size``, in the given order.
+
+    Rows are numbered within range partitions, whose sizes come to the driver, so no task orders all rows.
+    """
+    parts = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()))
+    sizes = {r[0]: r[1] for r in parts.groupBy("_p").count().collect()}
+    n, before, first = sum(sizes.values()), {}, {r[0]: r[1] for r in parts.groupBy("_p").agg(F.min("_k")).collect()}
+    at = 0
+    for p in sorted(sizes):
+        before[p], at = at - first[p], at + sizes[p]
+    if size is None:
+        size = -(-n // max(1, batches or 1))
+    if not n:
+        return parts.drop("_p", "_k").withColumn("batch", F.lit(0).cast("bigint"))
+    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_p")]
+    return parts.withColumn("batch", F.floor((F.col("_k") + offset) / max(1, size)).cast("bigint")).drop("_p", "_k")
+
+
+def disjoint(a: DataFrame, b: DataFrame) -> None:
+    """Raises an error if the two tables of equal columns share a row."""
+    shared = a.intersect(b).limit(1).collect()
+    if shared:
+        raise ValueError(f"not disjoint: {shared[0]}")
+
+
+def stamped_name(suffix: str = "") -> str:
+    """A file name that no other call gives: a random part and the time."""
+    return f"{uuid.uuid4().hex}-{datetime.now().strftime('%d-%m-%Y-%H-%M-%S-%f')}{suffix}"
+
+
+def write_feature_json(features: DataFrame, labels: DataFrame, path: str) -> None:
+    """Features (query_id, doc_id, one column per model) and labels as JSON lines, to be used again by ``read_feature_json``."""
+    features.write.mode("overwrite").json(f"{path}/features")
+    labels.write.mode("overwrite").json(f"{path}/labels")
+
+
+def read_feature_json(spark: SparkSession, path: str, features: tuple[str, ...] = FEATURES) -> tuple[DataFrame, DataFrame]:
+    """(features, labels) as they were written."""
+    key = "query_id bigint, doc_id bigint, "
+    return spark.read.schema(key + ", ".join(f"{f} double" for f in features)).json(f"{path}/features"), spark.read.schema(key + "label int").json(f"{path}/labels")
+
+
 def write_scores_csv(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header, in as many files as the rows have partitions."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_features(table: DataFrame, path: str, label: str = "label", features: str = "features") -> None:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..operators.frontier import RATE_SLACK_US, queue_of
+from ..operators.shared import children, delete, shared_folder, written
 from ..sources.corpus import message, parse_message
 
 HITS = "key bigint, id bigint, ts_us bigint"
@@ -30,30 +32,12 @@ def limit_rows(last: int | None, rows: pd.DataFrame, delay_us: int) -> tuple[int
     return (int(rows["ts_us"].iloc[-1]) if len(rows) else last), rows.assign(limited=limited.fillna(False).astype(bool))
 
 
-class RateLimiter(StatefulProcessor):
-    """One value of state per domain: the time of its last access."""
-
-    def __init__(self, delay_us: int):
-        self.delay_us = delay_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("ts_us", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        parts = list(rows)
-        last, out = limit_rows(last, pd.concat(parts, ignore_index=True), self.delay_us)
-        self.last.update((last,))
-        yield out[["key", "id", "ts_us", "limited"]]
-
-    def close(self) -> None:
-        pass
-
-
 def rate_limited_stream(hits: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
     """(key, id, ts_us, limited) of a stream (key, id, ts_us) whose files arrive in time order.
 
-    State is kept with applyInPandasWithState, one timestamp per key; needs no state-store column families.
+    State is kept with applyInPandasWithState, one timestamp per key; needs no state-store column families. A micro-batch's hits of a
+    key are put in order together, which the size of micro-batches (files per trigger) bounds; without a stream, ``frontier.rate_limited``
+    has no such bound.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,11 +53,6 @@ def rate_limited_stream(hits: DataFrame, delay_seconds: float = 1.0) -> DataFram
     return hits.groupBy("key").applyInPandasWithState(run, HITS + ", limited boolean", "ts_us bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def rate_limited_with_state(hits: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
-    """The same with transformWithStateInPandas (needs the RocksDB state store)."""
-    return hits.groupBy("key").transformWithStateInPandas(RateLimiter(int(delay_seconds * 1_000_000)), HITS + ", limited boolean", "append", "none")
-
-
 def counts_stream(links: DataFrame, key: str) -> DataFrame:
     """Running in-link counts, for outputMode("update") or "complete"."""
     return links.groupBy(key).agg(F.count("*").alias("inlinks"))
@@ -85,11 +64,20 @@ def deduplicated_stream(rows: DataFrame, key: str, ts: str | None = None, delay:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now and returns its rows."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """Runs a stream over what is there now and returns its rows, which are written as Parquet below the shared folder.
+
+    In mode "complete" every micro-batch replaces the rows; a batch that is run again replaces its own.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    found = children(spark, f"{path}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows") if found else spark.createDataFrame([], stream.schema)
 
 
 def route(messages: DataFrame, queues: int = 10) -> DataFrame:
@@ -99,14 +87,71 @@ def route(messages: DataFrame, queues: int = 10) -> DataFrame:
     return m.withColumn("domain", domain).withColumn("queue", queue_of(domain, queues)).withColumn("priority", F.coalesce("rate_limited", F.lit(False)).cast("int"))
 
 
-def start_mapper(messages: DataFrame, out: str, requeue: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame], queues: int = 10) -> StreamingQuery:
-    """Every micro-batch: what ``keep`` flags as kept goes to its queue's folder, the rest back to the frontier, after the work (at least once)."""
+def requeued(rows: DataFrame) -> DataFrame:
+    """Messages of rows (url, wave, rate_limited), those that a rate limit held back first, so that they are read first."""
+    return rows.orderBy(F.coalesce("rate_limited", F.lit(False)).desc()).select(message(F.col("url"), F.col("wave"), F.col("rate_limited")).alias("value"))
+
+
+def start_mapper(messages: DataFrame, out: str, requeue: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame], queues: int = 10, batch_size: int | None = None, delay_seconds: float | None = None, last_access: str | None = None) -> StreamingQuery:
+    """The mapper: every micro-batch is routed, what ``keep`` flags as kept goes to its queue's folder, the rest back to the frontier.
+
+    With ``batch_size`` at most that many messages of a micro-batch are worked on, held-back ones first; the others are carried over through
+    the frontier. With ``delay_seconds`` a message is held back if its domain was accessed less than that before; last accesses per domain
+    are a Parquet table at ``last_access``, and all times are those of the micro-batch. Everything is written after the work (at least once).
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        rows = keep(route(batch, queues)).persist()
+        spark = batch.sparkSession
+        rows = route(batch, queues)
+        if batch_size is not None:
+            first = rows.orderBy(F.desc("priority"), "wave", "url").withColumn("_n", F.monotonically_increasing_id())
+            rows = written(first)
+            inside = written(rows.orderBy("_n").limit(batch_size))
+            carried, rows = rows.join(inside.select("_n"), "_n", "left_anti").drop("_n"), inside.drop("_n")
+            requeued(carried).write.mode("append").text(requeue)
+        if delay_seconds is not None:
+            now = F.unix_micros(F.current_timestamp())
+            order = Window.partitionBy("domain").orderBy(F.desc("priority"), "url")
+            seen = spark.read.parquet(last_access) if children(spark, last_access) else spark.createDataFrame([], "domain string, ts_us bigint, batch bigint")
+            last = seen.groupBy("domain").agg(F.max("ts_us").alias("last_us"))
+            rows = written(rows.join(last, "domain", "left").withColumn("_turn", F.row_number().over(order)).withColumn("rate_limited", (F.col("_turn") > 1) | F.coalesce(now - F.col("last_us") < int(delay_seconds * 1_000_000) - RATE_SLACK_US, F.lit(False))).drop("_turn", "last_us"))
+            rows.where("NOT rate_limited").select("domain", now.alias("ts_us"), F.lit(batch_id).cast("bigint").alias("batch")).write.mode("append").parquet(last_access)
+            requeued(rows.where("rate_limited")).write.mode("append").text(requeue)
+            rows = rows.where("NOT rate_limited")
+        rows = written(keep(rows))
         rows.where("kept").drop("kept").write.mode("append").partitionBy("queue").json(out)
-        rows.where("not kept").select(message(F.col("url"), F.col("wave"), F.col("rate_limited")).alias("value")).write.mode("append").text(requeue)
-        rows.unpersist()
+        requeued(rows.where("NOT kept")).write.mode("append").text(requeue)
+
+    return messages.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_processor(messages: DataFrame, pages: DataFrame, folder: str, checkpoint: str, domains: list[str] = (), keywords: list[str] = ()) -> StreamingQuery:
+    """The processor: a stream of routed messages (url, wave) against a table of pages (page_id, url, html), micro-batch by micro-batch.
+
+    Messages of URLs that are in ``folder``/crawled are dropped; the pages of the others are parsed, and written are: parsed pages (pages), those that
+    cannot be parsed (quarantine), edges (edges), messages of the filtered out-links with the next wave (frontier), and at last the URLs as
+    crawled. A batch that fails before that is run again (at least once); its files carry the batch number and are replaced.
+    """
+    from ..operators.frontier import filtered_outlinks
+    from ..operators.links import canonical, host, outlinks, resolve
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        names = children(spark, f"{folder}/crawled")
+        crawled = spark.read.parquet(f"{folder}/crawled") if names else spark.createDataFrame([], "url string")
+        if f"batch={batch_id}" in names:
+            crawled = crawled.where(F.col("batch") != batch_id)
+        due = batch.groupBy("url").agg(F.min("wave").alias("wave")).join(crawled.select("url"), "url", "left_anti")
+        fetched = written(pages.join(due, "url"))
+        good, bad = process_pages(fetched)
+        put = lambda df, name: df.write.mode("overwrite").json(f"{folder}/{name}/batch={batch_id}")
+        put(good, "pages")
+        put(bad, "quarantine")
+        links = written(outlinks(good.select("page_id", "url", "html")).join(due, "url").select("page_id", canonical(F.col("url")).alias("src"), resolve(F.col("url"), F.col("href")).alias("url"), "anchor", "wave"))
+        put(links.select("src", F.col("url").alias("dst")).distinct(), "edges")
+        fresh = filtered_outlinks(links.withColumn("domain", host(F.col("url"))), domains, keywords).groupBy("url").agg(F.min("wave").alias("wave"))
+        fresh.select(message(F.col("url"), F.col("wave") + 1).alias("value")).write.mode("overwrite").text(f"{folder}/frontier/batch={batch_id}")
+        fetched.select("url").distinct().write.mode("overwrite").parquet(f"{folder}/crawled/batch={batch_id}")
 
     return messages.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -133,6 +178,29 @@ def status(query: StreamingQuery) -> dict:
     return {"active": query.isActive, "batch": p["batchId"] if p else None, "rows": p["numInputRows"] if p else 0}
 
 
+def refresh(spark: SparkSession, folders: list[str], urls: list[str], queue: str) -> None:
+    """Empties the folders of queues and state and seeds the queue anew."""
+    for f in folders:
+        delete(spark, f)
+    seed(spark, urls).write.mode("append").text(queue)
+
+
+def give_back(rows: DataFrame, requeue: str) -> None:
+    """On stopping: what a mapper still holds back goes to the frontier."""
+    requeued(rows).write.mode("append").text(requeue)
+
+
+def stop_on_signal(query: StreamingQuery, after: Callable[[], None] = lambda: None) -> None:
+    """Interrupt and termination signals stop the stream after the batch in hand, then run ``after``; progress stays in the checkpoint."""
+
+    def stop(signum, frame) -> None:
+        query.stop()
+        after()
+
+    for s in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(s, stop)
+
+
 def run_until(query: StreamingQuery, crawled: Callable[[], int], most: int, poll_seconds: float = 1.0) -> None:
     """Stops the stream, after the batch in hand, once ``crawled()`` reaches ``most``; progress stays in the checkpoint."""
     while query.isActive and crawled() < most:

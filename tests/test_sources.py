@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.operators import index
 from gristmill.sources import codecs, corpus
@@ -81,3 +82,70 @@ def test_lines_and_features(spark, tmp_path):
 
     corpus.write_features(spark.createDataFrame([(1, Vectors.sparse(3, [0, 2], [1.0, 2.0]))], ["label", "features"]), str(tmp_path / "f"))
     assert corpus.read_features(spark, str(tmp_path / "f"), 3).first().features.toArray().tolist() == [1.0, 0.0, 2.0]
+
+
+def test_robots_rules_and_delays(spark):
+    body = "User-agent: x\nUser-agent: *\nDisallow: /a # no\nDisallow: /b\nAllow: /b\nCrawl-delay: 2.5\n\nUser-Agent: mine\nDisallow:\nDisallow: /m\ncrawl-delay: soon\n"
+    files = spark.createDataFrame([("h", body), ("empty", ""), ("none", None)], "host string, body string")
+    rules, delays = corpus.parse_robots(files)
+    assert [(r.host, r.prefix) for r in rules.collect()] == [("h", "/a")]
+    assert {r.host: r.delay for r in delays.collect()} == {"h": 2.5, "empty": 1.0, "none": 1.0}
+    rules, delays = corpus.parse_robots(files, "Mine", 3.0)
+    assert [(r.host, r.prefix) for r in rules.collect()] == [("h", "/m")] and {r.delay for r in delays.collect()} == {3.0}
+
+
+def test_batches_names_and_sets(spark):
+    rows = spark.range(23).select(F.col("id").alias("k")).repartition(5)
+    for args, want in (({"batches": 4}, [6, 6, 6, 5]), ({"size": 10}, [10, 10, 3]), ({"batches": 30}, [1] * 23)):
+        got = corpus.batch_number(rows, "k", **args).collect()
+        sizes = {}
+        for r in sorted(got):
+            sizes.setdefault(r.batch, []).append(r.k)
+        assert [len(sizes[b]) for b in range(len(want))] == want and sum((sizes[b] for b in range(len(want))), []) == list(range(23))
+    assert corpus.batch_number(rows.limit(0), "k", 3).count() == 0
+    corpus.disjoint(rows.where("k < 3"), rows.where("k > 5"))
+    with pytest.raises(ValueError):
+        corpus.disjoint(rows, rows)
+    assert len({corpus.stamped_name(".json") for _ in range(50)}) == 50
+
+
+def test_pages_are_written_and_indexed(spark, tmp_path):
+    pages = spark.createDataFrame([("http://a", "red fox", 1), ("http://b", "red dog", 2)], "url string, cleaned_text string, wave int")
+    corpus.write_crawled(pages, str(tmp_path / "p"), "1")
+    corpus.write_crawled(pages, str(tmp_path / "p"), "1")
+    assert spark.read.json(str(tmp_path / "p")).count() == 2
+    first = corpus.index_crawled(pages.limit(1), str(tmp_path / "i"))
+    both = corpus.index_crawled(pages.where("wave = 2"), str(tmp_path / "i"), str(tmp_path / "i"))
+    assert (first.n_docs, both.n_docs, both.vocabulary) == (1, 2, 3) and {r.term: r.df for r in both.terms.collect()} == {"red": 2, "fox": 1, "dog": 1}
+
+
+def test_features_mail_and_scores(spark, tmp_path):
+    f = spark.createDataFrame([(1, 2, 0.5, 1.0, 2.0, -3.0, -4.0)], "query_id long, doc_id long, " + ", ".join(f"{n} double" for n in corpus.FEATURES))
+    lab = spark.createDataFrame([(1, 2, 1)], "query_id long, doc_id long, label int")
+    corpus.write_feature_json(f, lab, str(tmp_path / "f"))
+    back = corpus.read_feature_json(spark, str(tmp_path / "f"))
+    assert [x.collect() for x in back] == [f.collect(), lab.collect()]
+    mail = spark.createDataFrame([("a", "s", "b"), ("c", "s", "b")], "file_name string, subject string, body string")
+    assert [(r.file_name, r.label) for r in corpus.labelled_mail(mail, spark.createDataFrame([(1, "a")], "label int, file_name string")).collect()] == [("a", 1)]
+    corpus.write_scores_csv(spark.createDataFrame([("x", 1.5)], "id string, score double"), str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s")).columns == ["id", "score"]
+
+
+def test_outside_calls_are_tried_again(capsys):
+    from gristmill.operators.shared import retried, timed
+
+    seen = []
+
+    @timed
+    @retried(3, 0)
+    def call(n):
+        seen.append(n)
+        if len(seen) < n:
+            raise OSError("not yet")
+        return len(seen)
+
+    assert call(3) == 3 and "call took 0:00:00." in capsys.readouterr().out
+    seen.clear()
+    with pytest.raises(OSError):
+        call(9)
+    assert len(seen) == 3
