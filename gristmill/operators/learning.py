@@ -21,6 +21,10 @@ from .shared import written
 FEATURES = ("okapi_bm25", "okapi_tf", "okapi_tf_idf", "unigram_lm_jm", "unigram_lm_laplace")
 
 
+#: Rows of a partition of a training table.
+TRAINING_ROWS = 100_000
+
+
 def pivoted(runs: DataFrame, models: tuple[str, ...] = FEATURES) -> DataFrame:
     """(query_id, doc_id, one column per model) of (query_id, doc_id, model, score); 0 where a run lacks the document."""
     wide = runs.groupBy("query_id", "doc_id").pivot("model", list(models)).agg(F.first("score"))
@@ -81,6 +85,8 @@ def train_and_evaluate(table: DataFrame, qrels: DataFrame, models: dict, draws:
     The predictions of all models and draws are one run, whose topics are (model, draw, side, query), so that they are judged in one pass.
     """
     table = written(checked(table))
+    # Boosting runs several jobs a round: no more partitions than the rows need.
+    table = written(table.coalesce(max(1, -(-table.count() // TRAINING_ROWS))))
     runs = []
     for draw in range(draws):
         side = F.when(in_test(F.col("query_id"), draw), F.lit("test")).otherwise(F.lit("train"))
