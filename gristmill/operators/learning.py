@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizer, NGram, VectorAssembler
@@ -21,6 +23,7 @@ from .shared import written
 FEATURES = ("okapi_bm25", "okapi_tf", "okapi_tf_idf", "unigram_lm_jm", "unigram_lm_laplace")
 
 
+PARALLEL_FITS = 8
 #: Rows of a partition of a training table.
 TRAINING_ROWS = 100_000
 
@@ -87,13 +90,18 @@ def train_and_evaluate(table: DataFrame, qrels: DataFrame, models: dict, draws:
     table = written(checked(table))
     # Boosting runs several jobs a round: no more partitions than the rows need.
     table = written(table.coalesce(max(1, -(-table.count() // TRAINING_ROWS))))
-    runs = []
-    for draw in range(draws):
+    splits = [table.where(~in_test(F.col("query_id"), draw)).persist() for draw in range(draws)]
+
+    def run(draw: int, name: str) -> DataFrame:
         side = F.when(in_test(F.col("query_id"), draw), F.lit("test")).otherwise(F.lit("train"))
-        rows = table.where(~in_test(F.col("query_id"), draw)).persist()
-        for name, model in models.items():
-            scored = model.fit(rows).transform(table)
-            runs.append(scored.select(F.concat_ws("/", F.lit(name), F.lit(str(draw)), side, "query_id").alias("query_id"), "query_id", "doc_id", F.col("prediction").cast("double").alias("score")).toDF("query_id", "topic", "doc_id", "score"))
+        scored = models[name].copy().fit(splits[draw]).transform(table)
+        return scored.select(F.concat_ws("/", F.lit(name), F.lit(str(draw)), side, "query_id").alias("query_id"), F.col("query_id").alias("topic"), "doc_id", F.col("prediction").cast("double").alias("score"))
+
+    # The slow fits first; each is a row of small jobs, so several run side by side.
+    jobs = [(draw, name) for name in reversed(models) for draw in range(draws)]
+    with ThreadPool(min(PARALLEL_FITS, len(jobs))) as pool:
+        runs = pool.starmap(inheritable_thread_target(table.sparkSession)(run), jobs, chunksize=1)
+    for rows in splits:
         rows.unpersist()
     every = written(reduce(DataFrame.unionByName, runs))
     # Judgements for every topic of that name, by a join on the topic itself.
