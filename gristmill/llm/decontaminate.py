@@ -51,7 +51,7 @@ class _Codes(dict):
     """64-bit codes of words; remembers those it has met, up to some number."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return code
