@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,3 +134,36 @@ def shingle_codes(codes: np.ndarray, width: int) -> np.ndarray:
     for i in range(width if n > 0 else 0):
         out = (out ^ (out >> np.uint64(31))) * M + codes[i : i + n]
     return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of the longest word that is coded with the others at once.
+LONGEST = 64
+
+
+def word_codes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit codes of the words data[start:end], eight bytes of all words at a time; equal words have equal codes, in whatever text."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    at = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    code = mixed(size.astype(np.uint64) * M ^ (at[starts] & _HEAD[np.minimum(size, 8)]))
+    rest, done = np.flatnonzero((size > 8) & (size <= LONGEST)), 8
+    while len(rest):
+        code[rest] = mixed(code[rest] ^ (at[starts[rest] + done] & _HEAD[np.minimum(size[rest] - done, 8)]))
+        done += 8
+        rest = rest[size[rest] > done]
+    for k in np.flatnonzero(size > LONGEST).tolist():
+        code[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]])
+    return code
+
+
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of true values."""
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return edge[::2], edge[1::2]

@@ -19,18 +19,19 @@ so no benchmark is too large; all usual ones are one part.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_row, shingle_codes
+from .common import cut, per_row, runs, shingle_codes, word_codes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -41,27 +42,69 @@ PART_BYTES = 16 << 20
 WORD = re.compile(r"[^\W_]+")
 #: Windows whose fingerprints are computed together.
 CHUNK = 8192
+GAP = re.compile(r"[\W_]")
+#: Characters whose words are coded together.
+TOGETHER = 1 << 18
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class _Codes(dict):
-    """64-bit codes of words; remembers those it has met, up to some number."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return code
-
-
-_CODE = _Codes()
+def _codes(words: list[str]) -> np.ndarray:
+    encoded = [w.encode("utf-8", "surrogatepass") for w in words]
+    size = np.array([len(w) for w in encoded], np.int64)
+    ends = np.cumsum(size)
+    return word_codes(b"".join(encoded), ends - size, ends)
+
+
+@cache
+def _letters() -> np.ndarray:
+    """For each code point, whether words are made of it."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        out[m.start() : m.end()] = True
+    return out
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_CODE.__getitem__, words), np.uint64, len(words))
+def _coded(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the text, code) of the words of a lower-cased text."""
+    data = text.encode("utf-8", "surrogatepass")
+    if text.isascii():
+        starts, ends = runs(_letters()[:128][np.frombuffer(data, np.uint8)])
+        return starts, word_codes(data, starts, ends)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts, ends = runs(_letters()[points])
+    at = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
+    return starts, word_codes(data, at[starts], at[ends])
+
+
+def text_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all words of the texts, where each text's codes end)."""
+    lowered = [(t or "").lower() for t in texts]
+    codes, ends, total, k = [], [], 0, 0
+    while k < len(lowered):
+        some, size = [], 0
+        while k < len(lowered) and (not some or size + len(lowered[k]) <= TOGETHER):
+            some.append(lowered[k])
+            size += len(lowered[k]) + 1
+            k += 1
+        if size <= 2 * TOGETHER:
+            places, found = _coded("\n".join(some))
+            ends.append(total + np.searchsorted(places, np.cumsum([len(t) + 1 for t in some])))
+            total += len(found)
+            codes.append(found)
+            continue
+        # A very long text by pieces that end between words.
+        at = 0
+        while at < len(some[0]):
+            gap = GAP.search(some[0], at + TOGETHER)
+            to = gap.start() if gap else len(some[0])
+            codes.append(_coded(some[0][at:to])[1])
+            total, at = total + len(codes[-1]), to
+        ends.append([total])
+    return (np.concatenate(codes), np.concatenate(ends).astype(np.int64)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def middle(size: int) -> tuple[int, int]:
@@ -204,12 +247,11 @@ class Index:
     def search(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
         """For each text, (item, similarity, first word, words) of the best window of every item that it holds."""
         out: list = [[] for _ in texts]
-        codes = [_codes(words_of(t)) for t in texts]
         if not self.groups or not texts:
             return out
-        flat = np.concatenate(codes)
-        ends = np.cumsum([len(c) for c in codes])
-        begin = ends - [len(c) for c in codes]
+        flat, ends = text_codes(texts)
+        begin = np.concatenate([[0], ends[:-1]])
+        shingles = shingle_codes(flat, self.width)
         hits = defaultdict(set)
         for size, at, prints in window_prints(flat, list(self.groups)):
             numbers, blocks = self.groups[size]
@@ -220,13 +262,16 @@ class Index:
                 for d, p, k in zip(doc[inside].tolist(), (place - begin[doc])[inside].tolist(), numbers[n[inside]].tolist()):
                     hits[d, k].add(p)
         for (d, n), places in sorted(hits.items()):
-            best = self._best(codes[d], n, sorted(places))
+            best = self._best(flat[begin[d] : ends[d]], shingles[begin[d] : ends[d]], n, sorted(places))
             if best:
                 out[d].append((n, *best))
         return out
 
-    def _best(self, codes: np.ndarray, n: int, places: list[int]) -> tuple[float, int, int] | None:
-        """(similarity, first word, words) of the best window around candidates whose middles start at ``places``, the first of equals."""
+    def _best(self, codes: np.ndarray, shingles: np.ndarray, n: int, places: list[int]) -> tuple[float, int, int] | None:
+        """(similarity, first word, words) of the best window around candidates whose middles start at ``places``, the first of equals.
+
+        ``shingles`` are those that start at each word; the last ones, which reach beyond the text, are not looked at.
+        """
         size, weights = self.size[n], self.weights[n]
         if len(codes) <= size:
             s = similarity(weights, Counter(shingle_codes(codes, self.width).tolist()))
@@ -241,17 +286,17 @@ class Index:
         total = sum(weights.values())
         best = (0.0, 0, 0)
         for lo, hi in ranges:
-            shingles = shingle_codes(codes[lo : hi + size], min(self.width, size))
+            here = shingles[lo : hi + size - self.width + 1] if size >= self.width else shingle_codes(codes[lo : hi + size], size)
             own = self.shingles[n]
-            if np.count_nonzero(own[np.minimum(np.searchsorted(own, shingles), len(own) - 1)] == shingles) < self.least * total:
+            if np.count_nonzero(own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here) < self.least * total:
                 continue
-            shingles = shingles.tolist()
+            here = here.tolist()
             span, seen, shared = total, Counter(), 0
-            for k, x in enumerate(shingles):
+            for k, x in enumerate(here):
                 if x in weights:
                     seen[x] += 1
                     shared += seen[x] <= weights[x]
-                if k >= span and (y := shingles[k - span]) in weights:
+                if k >= span and (y := here[k - span]) in weights:
                     shared -= seen[y] <= weights[y]
                     seen[y] -= 1
                 if k >= span - 1 and shared / total > best[0]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bitmap, components, cut, flagged, per_row, shingle_codes
+from .common import attach, bitmap, components, cut, flagged, mixed, per_row, shingle_codes
 
 SEED = 42
 BLOCKS = 4
@@ -230,19 +230,13 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_codes(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), width))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def wide_print(codes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """SimHash of a set of shingle codes, as ``words`` 64-bit numbers: a bit is 1 if set in over half of the hashes."""
     ones = np.zeros((words, 64), np.int64)
     for at in range(0, len(codes), 65536):
         part = codes[at : at + 65536]
         for w in range(words):
-            h = _mixed(part + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            h = mixed(part + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > len(codes), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 

@@ -307,6 +307,20 @@ def test_blocks_prune():
     assert met / windows < 100
 
 
+def test_text_codes_are_those_of_the_words(monkeypatch):
+    """Words of ASCII, other and mixed scripts, of many lengths, and texts that are coded in pieces."""
+    r = random.Random(12)
+    kinds = ["abcXYZ019", "\u00e9\u0130\u03a3\u00df\u017f", "\u6f22\u5b57\U0001f600\u00bd\u2461", " _-.\n\t\u00a0"]
+    texts = [None, "", " ", "x" * 70 + "_" + "y" * 5000 + " z", "\u00e9" * 3000] + ["".join(r.choice(kinds[r.choice((0, 0, 0, r.randrange(4)))]) for _ in range(r.randint(0, 300))) for _ in range(300)]
+    for size in (decontaminate.TOGETHER, 100):
+        monkeypatch.setattr(decontaminate, "TOGETHER", size)
+        codes, ends = decontaminate.text_codes(texts)
+        own = [decontaminate._codes(decontaminate.words_of(t)).tolist() for t in texts]
+        assert [part.tolist() for part in np.split(codes, ends[:-1])] == own and ends[-1] == len(codes)
+    words = {w for t in texts for w in decontaminate.words_of(t)}
+    assert len(set(decontaminate._codes(sorted(words)).tolist())) == len(words)
+
+
 def test_window_prints_are_those_of_the_windows(monkeypatch):
     monkeypatch.setattr(decontaminate, "CHUNK", 50)
     codes = decontaminate._codes([f"w{k % 70}" for k in range(230)])
