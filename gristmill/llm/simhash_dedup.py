@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bitmap, components, cut, flagged, mixed, per_row, shingle_codes
+from .common import attach, bitmap, components, cut, flagged, mixed, per_row, runs, shingle_codes, word_codes
 
 SEED = 42
 BLOCKS = 4
@@ -52,6 +52,16 @@ TILE_SETS = 4096
 PART = 4096
 
 
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit hashes the number whose bits are 1 where over half of the hashes have them set."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    # 255 ones fit a byte.
+    for at in range(0, len(hashes), 255):
+        part = np.ascontiguousarray(hashes[at : at + 255], "<u8")
+        ones += np.add.reduce(np.unpackbits(part.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash (unsigned) of the text's word shingles, repeats included; no word: 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -59,11 +69,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
     hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        bits = np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(_majority(hashes[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -224,21 +230,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Similarity of whole texts.
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted codes of the text's distinct shingles; of fewer words there is one shingle, the whole, also of none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(1, np.uint64)
-    return np.unique(shingle_codes(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), width))
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    at = np.frombuffer(data, np.uint8)
+    codes = word_codes(data, *runs((at != 32) & ((at < 9) | (at > 13))))
+    return np.unique(shingle_codes(codes, width)) if len(codes) else np.zeros(1, np.uint64)
 
 
 def wide_print(codes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """SimHash of a set of shingle codes, as ``words`` 64-bit numbers: a bit is 1 if set in over half of the hashes."""
-    ones = np.zeros((words, 64), np.int64)
-    for at in range(0, len(codes), 65536):
-        part = codes[at : at + 65536]
-        for w in range(words):
-            h = mixed(part + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(codes), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+    salts = [np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for w in range(words)]
+    return _majority(mixed(codes[:, None] + np.array(salts, np.uint64))).astype(np.uint64)
 
 
 PRINT = ["f0", "f1", "f2", "f3"]
