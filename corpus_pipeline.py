@@ -21,9 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts of no known language: null, without a letter, or far less like any profile than documents of known language are."""
-    models = language.learn(docs)
-    return language.known_language(docs.select(COLUMNS), models, language.least_score(docs, models))
+    """Drops texts of no known language: null, without a letter, or far less like any profile than documents of known language are.
+
+    Profiles and the least score are those of all documents of known language that are not held out, not of a sample.
+    """
+    return language.like_known(docs.select(COLUMNS), language.learn(docs, sample=None))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

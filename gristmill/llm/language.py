@@ -8,19 +8,25 @@ from lower-cased words between blanks, over the whole text.
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import per_row
+from .common import cut, per_row, shared_dir
 
 PROFILE = 400
-#: At most about this many training documents per language are read for the profiles.
+#: At most about this many training documents per language are read for the profiles, unless all are asked for.
 SAMPLE = 3000
+#: N-grams that are counted at once; one text's are never divided.
+AT_ONCE = 1 << 22
+#: Bins that a round of ``least_reached`` counts.
+BINS = 1 << 12
 #: Profiles are made of so many values of lang at most, those with the most documents (the column may hold anything).
 LANGUAGES = 1000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -59,33 +65,41 @@ def ranked(text: str, n: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:n]]
 
 
-def profiles(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, sample: int = SAMPLE, seed: int = 7) -> dict[str, np.ndarray]:
+def profiles(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, sample: int | None = SAMPLE, seed: int = 7) -> dict[str, np.ndarray]:
     """Profile (n-gram codes in rank order) of each language of ``training``.
 
     Fitted on about ``sample`` documents of each language, chosen by a hash of id and text; a language with fewer
-    has all of them. What reaches the driver are ``size`` codes per language.
+    has all of them. With ``sample`` None all documents count. What reaches the driver are ``size`` codes per language.
     """
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit(seed)).alias("draw"))
     there = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not there:
         return {}
     rows = rows.where(F.col("lang").isin(*there))
-    share = F.create_map(*[F.lit(x) for k, n in sorted(there.items()) for x in (k, min(1.0, sample / n))])
-    chosen = rows.where(F.pmod("draw", F.lit(1 << 20)) / F.lit(float(1 << 20)) < share[F.col("lang")]).drop("draw")
+    if sample is not None:
+        share = F.create_map(*[F.lit(x) for k, n in sorted(there.items()) for x in (k, min(1.0, sample / n))])
+        rows = rows.where(F.pmod("draw", F.lit(1 << 20)) / F.lit(float(1 << 20)) < share[F.col("lang")])
 
     def make():
         def work(langs, texts):
             out_l, out_c, out_n = [], [], []
             for lang in sorted(set(langs)):
-                codes, counts = np.unique(np.concatenate([grams(t) for k, t in zip(langs, texts) if k == lang]), return_counts=True)
-                out_l += [lang] * len(codes)
-                out_c.append(codes.view(np.int64))
-                out_n.append(counts)
+                held, n = [], 0
+                for text in [t for k, t in zip(langs, texts) if k == lang] + [None]:
+                    if text is not None:
+                        held.append(grams(text))
+                        n += len(held[-1])
+                    if held and (text is None or n >= AT_ONCE):
+                        codes, counts = np.unique(np.concatenate(held), return_counts=True)
+                        out_l += [lang] * len(codes)
+                        out_c.append(codes.view(np.int64))
+                        out_n.append(counts)
+                        held, n = [], 0
             return out_l, np.concatenate(out_c), np.concatenate(out_n)
 
         return work
 
-    counted = per_row(chosen, "lang string, code long, n long", make).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = per_row(rows.drop("draw"), "lang string, code long, n long", make).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # The best of each of 64 shares first, so that no task sees all n-grams of a language.
     order = [F.desc("n"), F.asc("code")]
     part = counted.withColumn("share", F.pmod(F.xxhash64("code"), F.lit(64)))
@@ -145,15 +159,70 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def least_score(docs: DataFrame, models: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 7) -> float:
-    """Half the score that 999 of 1000 documents of known language reach; fitted on about ``sample`` of those not held out, 0 without any."""
-    known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = known.count()
-    if not n or not models:
+def with_score(docs: DataFrame, models: dict[str, np.ndarray], name: str, text_col: str = "text", size: int = PROFILE) -> DataFrame:
+    """``docs`` and, as column ``name``, the score of each text: null where it has no letter, 1 for all others where nothing could be learned."""
+    text_at = docs.columns.index(text_col)
+
+    def run(batches):
+        ranker = Ranker(models, size)
+
+        def score(text):
+            if not models:
+                return 1.0 if len(grams(text or "")) else None
+            found, score = ranker.predict(text)
+            return None if found == UNKNOWN and not score else score
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                scores = pa.array(map(score, part.column(text_at).to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def least_reached(values: DataFrame, column: str) -> float | None:
+    """The exact 0.001 quantile of a column, the least value that a thousandth of all do not exceed; nulls do not count, None without any value.
+
+    Every value is counted, in at most ``BINS`` + 1 bins a round, which alone reach the driver; the next round divides the bin that holds the number.
+    """
+    values = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    before = (n - 1) // 1000
+    while low < high:
+        # Rounding keeps the order, and the ends lie in the first and the last bin, so each round divides.
+        spot = F.floor((F.col("v") - F.lit(low)) / F.lit(high - low) * F.lit(float(BINS)))
+        inside = values.where(F.col("v").between(low, high))
+        for _, n, low, high in inside.groupBy(spot.alias("bin")).agg(F.count("*"), F.min("v"), F.max("v")).orderBy("bin").collect():
+            if before < n:
+                break
+            before -= n
+    return low
+
+
+def _known(id_col: str, lang_col: str) -> Column:
+    return ~held_out(id_col) & F.col(lang_col).isNotNull()
+
+
+def least_score(docs: DataFrame, models: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """Half the score that 999 of 1000 documents of known language reach, of all that are not held out and have a letter; 0 without any."""
+    if not models:
         return 0.0
-    draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    found = predict(known.where(draw < min(1.0, sample / n)).select(id_col, text_col), models, id_col, text_col).where(F.col("lang_pred") != UNKNOWN)
-    return (found.agg(F.percentile_approx("score", 0.001, 100_000)).first()[0] or 0.0) / 2
+    known = docs.where(_known(id_col, lang_col)).select(F.col(text_col).alias("text"))
+    return (least_reached(cut(with_score(known, models, "score").select("score")), "score") or 0.0) / 2
+
+
+def _reaching(scored: DataFrame, name: str, least: float) -> DataFrame:
+    return scored.where((F.col(name) > 0) & (F.col(name) >= least)).drop(name)
+
+
+def _free(docs: DataFrame, name: str = "_score") -> str:
+    """A column name that ``docs`` does not have."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def known_language(docs: DataFrame, models: dict[str, np.ndarray], least: float = 0.0, text_col: str = "text", size: int = PROFILE) -> DataFrame:
@@ -162,20 +231,21 @@ def known_language(docs: DataFrame, models: dict[str, np.ndarray], least: float
     Texts that are null, empty or without a letter go. Where no language could be learned, all texts with a letter stay. Repeated rows
     are treated alike, very long texts read whole; an empty table gives an empty result.
     """
-    text_at = docs.columns.index(text_col)
-
-    def run(batches):
-        ranker = Ranker(models, size)
-        known = (lambda text: (score := ranker.predict(text)[1]) > 0 and score >= least) if models else (lambda text: len(grams(text or "")) > 0)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield part.filter(pa.array(map(known, part.column(text_at).to_pylist()), pa.bool_()))
+    name = _free(docs)
+    return _reaching(with_score(docs, models, name, text_col, size), name, least if models else 0.0)
 
-    return docs.mapInArrow(run, docs.schema)
 
+def like_known(docs: DataFrame, models: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``known_language`` with the ``least_score`` of the same ``docs``; rows and scores are written in between, so that each text is scored once."""
+    name = _free(docs)
+    path = f"{shared_dir(docs.sparkSession)}/scored-{uuid.uuid4().hex}"
+    scored = with_score(docs, models, name, text_col)
+    scored.write.parquet(path)
+    scored = docs.sparkSession.read.schema(scored.schema).parquet(path)
+    least = (least_reached(scored.where(_known(id_col, lang_col)), name) or 0.0) / 2 if models else 0.0
+    return _reaching(scored, name, least)
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Profiles from the rows that are not held out."""
-    return profiles(docs.where(~held_out(id_col)).select(id_col, text_col, lang_col), id_col, text_col, lang_col)
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int | None = SAMPLE) -> dict[str, np.ndarray]:
+    """Profiles from the rows that are not held out; with ``sample`` None from all of them."""
+    return profiles(docs.where(~held_out(id_col)).select(id_col, text_col, lang_col), id_col, text_col, lang_col, sample=sample)

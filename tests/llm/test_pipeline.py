@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -76,6 +78,44 @@ def test_run_and_empty_table(spark, tmp_path):
         assert out.count() == 0
 
 
+def test_language_is_learned_from_all_documents(spark, monkeypatch):
+    """Profiles and the least score are those of every document of known language that is not held out, not of 3,000 of them."""
+    r = random.Random(8)
+    vocab = {"en": "abcdefghijklm", "de": "klmnopqrstuvw"}
+    text = lambda strange, letters, n: " ".join("".join(chr(r.randint(0x4E00, 0x9000)) if r.random() < strange else r.choice(letters) for _ in range(4)) for _ in range(n))
+    rows = [(i, text(r.choice((0, 0, 0, 0.3, 0.6)), vocab[k], r.randint(3, 8)), k) for i in range(9000) for k in [("en", "de")[i % 2]]]
+    rows += [(10_000 + i, text(i / 600, vocab["en"], 12), None) for i in range(600)] + [(20_000, None, "en"), (20_001, "1 2", "en"), (None, "abc klm", "en")]
+    docs = spark.createDataFrame([(i, t, k, "x", 0) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(4)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    learned = [(t, k) for i, t, k in rows if k and t and not held(i)]
+    models = {}
+    for lang in vocab:
+        codes, counts = np.unique(np.concatenate([language.grams(t) for t, k in learned if k == lang]), return_counts=True)
+        models[lang] = codes[np.lexsort((codes.view(np.int64), -counts))][: language.PROFILE]
+    ranker = language.Ranker(models)
+    scores = sorted(s for found, s in (ranker.predict(t) for t, _ in learned) if found != "und")
+    least = scores[(len(scores) - 1) // 1000] / 2
+    own = [(i, ranker.predict(t)[1]) for i, t, _ in rows]
+    want = sorted(str(i) for i, s in own if s > 0 and s >= least)
+    assert 20 < len(rows) - len(want) < 580
+    monkeypatch.setattr(language, "AT_ONCE", 1000)
+    monkeypatch.setattr(language, "BINS", 64)
+    got = language.learn(docs, sample=None)
+    assert {k: v.tolist() for k, v in got.items()} == {k: v.tolist() for k, v in models.items()}
+    assert language.least_score(docs, got) == least
+    assert sorted(str(x.doc_id) for x in dict(corpus_pipeline.STAGES)["language"](spark, docs, SF).collect()) == want
+
+
+def test_quantile_is_exact(spark):
+    """Against sorting: skewed, repeated, equal, very close, single and missing values."""
+    r = random.Random(4)
+    for values in ([r.random() ** 9 for _ in range(5000)], [r.choice((0.0, 0.1, 1e-300)) for _ in range(2000)], [0.5] * 1500, [0.3, np.nextafter(0.3, 1)] * 1000, [0.0, 5e-324] * 999, [0.7], [0.2, None, None]):
+        there = sorted(float(v) for v in values if v is not None)
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+        assert language.least_reached(df, "x") == there[(len(there) - 1) // 1000]
+    assert language.least_reached(df.limit(0), "x") is None
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
 
