@@ -5,7 +5,7 @@ from dataclasses import replace
 
 import pytest
 
-from gristmill.operators import ranking, scoring
+from gristmill.operators import feedback, ranking, scoring
 from gristmill.operators.index import Index
 
 
@@ -73,6 +73,17 @@ def test_spans(spark, case):
     assert shuffled(spark, lambda: ranking.spans(index, terms).collect()) < 200
 
 
+def test_significant_terms(spark, case, monkeypatch):
+    index, joined, terms = case
+    want = rows(feedback.significant_terms(joined, terms, 5))
+    assert rows(feedback.significant_terms(index, terms, 5)) == want
+    monkeypatch.setattr(scoring, "TILE_TOKENS", 50)
+    assert rows(feedback.significant_terms(index, terms, 5)) == want
+    monkeypatch.undo()
+    more = Index.build(texts(spark, 400, 8, "abcdefghijklmnopqrstuvwxyz", 60))
+    assert shuffled(spark, lambda: feedback.significant_terms(more, terms).collect()) < 1_000
+
+
 def test_repeated_ids_are_put_together(spark):
     docs = texts(spark, 30, 4)
     index = Index.build(docs.unionByName(docs))
