@@ -28,6 +28,8 @@ from .shared import written
 MOST_TERMS = 2_000_000
 #: Best documents of all queries together that a task keeps; more queries are taken in several passes.
 MOST_KEPT = 1_000_000
+#: Words of an n-gram whose spans are worked out a document at a time.
+MOST_GRAM = 6
 
 
 def topic_terms(topics: DataFrame, words: Column | None = None, id_col: str = "query_id") -> DataFrame:
@@ -201,7 +203,7 @@ def covering_span(lists: Column, cap: int = 500) -> Column:
 def ngram_spans(index: Index, terms: DataFrame, n: int, cap: int = 500) -> DataFrame:
     """(query_id, pos, doc_id, span) of query n-grams of n different words that a document holds all of."""
     grams = ngrams(terms, n).where(F.size(F.array_distinct("gram")) == n)
-    if index.words is not None and (found := query_arrays(index, terms, 1, grams)):
+    if index.words is not None and n <= MOST_GRAM and (found := query_arrays(index, terms, 1, grams)):
         return reduce(DataFrame.unionByName, [scoring.spans(index.words, q, terms.schema["query_id"], cap) for q in found])
     wanted = small(grams.select("query_id", "pos", F.explode("gram").alias("term")))
     found = index.postings.join(wanted, "term").groupBy("query_id", "pos", "doc_id").agg(F.collect_list("positions").alias("lists"))

@@ -68,7 +68,7 @@ def test_ranking_shuffles_no_scores(spark):
 def test_spans(spark, case):
     index, joined, terms = case
     assert rows(ranking.spans(index, terms)) == rows(ranking.spans(joined, terms))
-    for n in (2, 3):
+    for n in (2, 3, 4):
         assert rows(ranking.ngram_spans(index, terms, n)) == rows(ranking.ngram_spans(joined, terms, n))
     assert shuffled(spark, lambda: ranking.spans(index, terms).collect()) < 200
 
